@@ -7,6 +7,7 @@ from importlib import import_module
 #: query name -> module of this subpackage that defines it; its SQL, if any, is that module's SQL.
 QUERIES = {
     "op2_line_dedup": "line_dedup",
+    "op6_best_fit_packing": "packing",
     "op8_quality_rules": "quality_rules",
     "op10_mixing": "mixing",
 }
