@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query name -> module of this subpackage that defines it; its SQL, if any, is that module's SQL.
 QUERIES = {
+    "op1_suffix_array_dedup": "suffix_dedup",
     "op2_line_dedup": "line_dedup",
     "op3_minhash_near_dedup": "near_dedup",
     "op6_best_fit_packing": "packing",
