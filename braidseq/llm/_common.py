@@ -56,6 +56,11 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with value evaluated once, even where use has lambdas of its own that mention it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def hash128(col: Column, name: str = "h") -> list[Column]:
     """Two independent 64-bit hashes of a column, as name1 and name2."""
     return [F.xxhash64(col).alias(f"{name}1"), F.xxhash64(F.lit(7919), col).alias(f"{name}2")]

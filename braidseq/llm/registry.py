@@ -10,6 +10,7 @@ QUERIES = {
     "op2_line_dedup": "line_dedup",
     "op3_minhash_near_dedup": "near_dedup",
     "op6_best_fit_packing": "packing",
+    "op7_document_fingerprints": "fingerprints",
     "op8_quality_rules": "quality_rules",
     "op10_mixing": "mixing",
 }
