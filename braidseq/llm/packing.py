@@ -9,6 +9,7 @@ rest are final too. That bounds a node's rows by FAN_IN * (1 + FAN_IN * capacity
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -23,7 +24,6 @@ from ._common import materialise, small_batches, table
 
 CAPACITY, END_ID, FAN_IN, NEARLY_FULL = 4096, 1, 16, 8
 TOKENIZER = "word_bpe_49k.json"
-CACHE_WORDS = 400_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -36,32 +36,92 @@ class WordEncoder:
     """Token ids of whole texts as little-endian uint32 bytes.
 
     The vocabulary's rules never look across white space: text is split there, so a text's ids are those
-    of its words in order, and each distinct word is encoded once. Words that hold part of a special
-    token's spelling are no exception, as those spellings have no white space either.
+    of its words in order, and a distinct word is encoded once. Words of ASCII and Latin-1 letters are lower-cased and cut
+    as the vocabulary does, and those parts, which recur more often than the words, are encoded many at a
+    time. The rest goes to the tokenizer as it is. Both memories stop growing at a fixed number of
+    entries; what is not remembered is encoded again.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, k in vocabulary.items():
+            self.last[k] = token.endswith("</w>")
+
+    def _encode_parts(self, parts: list[str]) -> dict[str, bytes]:
+        found = {}
+        for at in range(0, len(parts), 2000):
+            some = parts[at : at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(some):
+                raise ValueError("a part of a word is not one part to the tokenizer")
+            raw, cuts = ids.tobytes(), (4 * np.append(0, ends)).tolist()
+            found.update(zip(some, map(raw.__getitem__, map(slice, cuts, cuts[1:]))))
+        return found
+
+    def _encode_words(self, fresh: set[str]) -> dict[str, bytes]:
+        cut, odd, plain = {}, [], PLAIN.fullmatch
+        for word in fresh:
+            if plain(word) and "<|" not in word:
+                lower = word.lower()
+                cut[word] = (lower,) if lower.isalpha() else PART.findall(lower)
+            else:
+                odd.append(word)
+        new = self._encode_parts(list({p for parts in cut.values() for p in parts} - self.parts.keys()))
+        if len(self.parts) < REMEMBER_PARTS:
+            self.parts.update(new)
+            of = self.parts.__getitem__
+        else:
+            of = lambda p: self.parts.get(p) or new[p]
+        out = {word: of(parts[0]) if len(parts) == 1 else b"".join(map(of, parts)) for word, parts in cut.items()}
+        for at in range(0, len(odd), 2000):
+            for word, found in zip(odd[at : at + 2000], self.tokenizer.encode_batch_fast(odd[at : at + 2000], add_special_tokens=False)):
+                out[word] = np.array(found.ids, "<u4").tobytes()
+        return out
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        split = [t.split() if t.isascii() and not any(c in t for c in "\x1c\x1d\x1e\x1f") else _split(t) for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        fresh = list({w for words in split for w in words} - self.known.keys())
-        for word, found in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False)):
-            self.known[word] = np.array(found.ids, "<u4").tobytes()
+        split = [_split(t) for t in texts]
+        distinct = set().union(*split)
+        new = self._encode_words(distinct - self.words.keys())
+        if len(self.words) < REMEMBER_WORDS:
+            self.words.update(new)
+            known = self.words
+        else:
+            known = new | {w: self.words[w] for w in distinct - new.keys()}
         for words in split:
-            yield b"".join(map(self.known.__getitem__, words))
+            yield b"".join(map(known.__getitem__, words))
 
 
 def _split(text: str) -> list[str]:
-    """Split at ASCII white space alone, which every rule of the vocabulary treats as a border."""
-    return text.translate(_BORDERS).split(" ") if text else []
+    """Split at white space that every rule of the vocabulary treats as a border."""
+    if (text.isascii() or not WIDE.search(text)) and not CONTROL.search(text):
+        return text.split()
+    return text.translate(BORDERS).split(" ")
+
+
+#: Words of these characters only are lower-cased and cut here: printable ASCII and the letters of Latin-1.
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: How the vocabulary cuts them once they are lower case.
+PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+#: What str.split() takes for white space and the vocabulary may not.
+CONTROL = re.compile("[\x1c-\x1f]")
+WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+BORDERS = dict.fromkeys(range(9, 14), " ")
+REMEMBER_WORDS, REMEMBER_PARTS = 300_000, 400_000
+_encoders: dict[str, WordEncoder] = {}
 
 
-_BORDERS = dict.fromkeys(range(9, 14), " ")
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder per Python worker, which lives through its tasks."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 def pieces_of(ids: bytes, capacity: int = CAPACITY) -> Iterator[tuple[int, int, int, int]]:
@@ -117,7 +177,7 @@ def local_pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, at long, node long, up long"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, node = WordEncoder(path), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        encoder, end, node = encoder_of(path), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         docs_of, rows = [], []
         for batch in small_batches(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
