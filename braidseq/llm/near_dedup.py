@@ -4,8 +4,9 @@ A shingle is five words (all of them in a shorter text), ASCII-lower-cased. Its
 text times its idf, the mean of the smoothed idf of its words; the words' document counts over the whole
 corpus are kept in DF_CELLS hashed cells, so what is broadcast never grows. Improved consistent weighted
 sampling (Ioffe, 2010) draws BANDS * ROWS samples; texts that agree on a band are candidates. A bucket is
-never expanded into all its pairs: each round compares its members with a few pivots only, skips those
-already in the pivot's class, and the rounds go on until every two members are in one class or compared.
+never expanded into all its pairs: first its members meet one pivot; then those not in one class yet meet
+the next FIRST_PIVOTS members, then four times as many, and so on, members of a pivot's own class left
+out, until every two members are in one class or compared. Large groups of copies fall into one class early.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from ._components import components
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 14, 3
 DF_CELLS = 1 << 20
-PIVOTS, MEMBERS_PER_TASK_KEY = 4, 256
+FIRST_PIVOTS, MEMBERS_PER_TASK_KEY = 8, 256
 GRID = 1 << 14
 
 
@@ -199,7 +200,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     texts = materialise(docs.join(wanted, "doc_id").dropDuplicates(["doc_id"]), "near-texts")
 
     pairs = member.where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    links, tested, done = None, None, 1
+    links, tested, done, more = None, None, 1, FIRST_PIVOTS
     while True:
         salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS_PER_TASK_KEY).alias("salts"))
         pairs = materialise(pairs.join(salts, "a"), "near-pairs")
@@ -209,7 +210,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         else:
             tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
             good = materialise(verify(pairs, texts, idf, similarity), "near-good").select(F.col("a").alias("u"), F.col("b").alias("v"))
-            links = good if links is None else links.unionByName(good)
+            # a class found before stands for its links
+            links = good if links is None else of.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(good)
         of = materialise(components(links), "near-components")
         placed = member.join(of, member["rep"] == of["node"], "left").select("band", "h", "rep", F.coalesce("component", "rep").alias("c"))
         mixed = placed.groupBy("band", "h").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("band", "h")
@@ -217,9 +219,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         ranked = materialise(ranked.where(F.col("k") > done), "near-ranked")
         if ranked.isEmpty():
             break
-        pivots = ranked.where(F.col("k") <= done + PIVOTS).select("band", "h", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("k").alias("ka"))
+        pivots = ranked.where(F.col("k") <= done + more).select("band", "h", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("k").alias("ka"))
         pairs = ranked.join(pivots, ["band", "h"]).where("k > ka and c <> ca").select("a", F.col("rep").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        done += PIVOTS
+        done, more = done + more, 4 * more
     reps = kinds.select("d1", "d2", "rep")
     if links is not None:
         reps = reps.join(of, reps["rep"] == of["node"], "left").select("d1", "d2", "rep", F.coalesce("component", "rep").alias("class_id"))
