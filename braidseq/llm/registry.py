@@ -9,9 +9,12 @@ QUERIES = {
     "op1_suffix_array_dedup": "suffix_dedup",
     "op2_line_dedup": "line_dedup",
     "op3_minhash_near_dedup": "near_dedup",
+    "op4_language_id": "language_id",
+    "op5_url_filters": "url_filters",
     "op6_best_fit_packing": "packing",
     "op7_document_fingerprints": "fingerprints",
     "op8_quality_rules": "quality_rules",
+    "op9_quality_classifier": "quality_classifier",
     "op10_mixing": "mixing",
 }
 
