@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ._common import WORD, materialise, once, table, text_of
 
 SHINGLE, ONE_IN = 5, 4
-BUCKET_DOCS = 512
+BUCKET_ROWS, MAX_BUCKETS = 512, 100_000
 
 
 def sketch(text: Column, one_in: int = ONE_IN, shingle: int = SHINGLE) -> Column:
@@ -55,31 +55,26 @@ def as_string(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def with_next(rows: DataFrame, order: str, columns: list[str], per_bucket: int = BUCKET_DOCS) -> DataFrame:
+def with_next(rows: DataFrame, order: str, column: str) -> DataFrame:
     """rows with next_<column> of the row that follows in ascending `order` (the first after the last).
 
-    Ordered without one global window: ids fall into buckets of about per_bucket rows by their value, the
-    next row is looked up inside its bucket, and only the last row of each bucket asks the next bucket.
-    Buckets are cut from the least and largest id and the count; where ids crowd, a bucket holds more rows.
-    Ties, and null ids (first), are in order of the columns.
+    Ordered without one global window: ids fall by value into at most MAX_BUCKETS buckets, and the first row
+    of each bucket is also put at the end of the bucket before it. What says which rows those are has one
+    row per bucket, a fixed bound, and is broadcast; the rows are shuffled once. Where ids crowd, a bucket
+    holds more rows. Ties and null ids (first) are in order of the column.
     """
     low, high, n = rows.agg(F.min(order), F.max(order), F.count("*")).first()
-    low, width = low or 0, max(1, ((high or 0) - (low or 0) + 1) * per_bucket // max(1, n))
-    bucket = F.coalesce(F.floor((F.col(order) - F.lit(low)) / F.lit(width)).cast("long"), F.lit(-1).cast("long"))
-    rows = rows.withColumn("bucket__", bucket)
-    inside = Window.partitionBy("bucket__").orderBy(order, *columns)
-    follow = F.struct(*columns)
-    rows = rows.withColumn("follow__", F.lead(follow).over(inside)).withColumn("first__", F.row_number().over(inside) == 1)
-    rows = materialise(rows, "next-rows")
-    heads = rows.where("first__").select(F.col("bucket__").alias("head__"), follow.alias("head_row__"))
-    buckets = heads.select("head__")
-    after = Window.orderBy("head__")
-    chain = buckets.withColumn("then__", F.lead("head__").over(after)).withColumn("then__", F.coalesce("then__", F.first("head__").over(after.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    last = rows.where("follow__ is null").select("bucket__", *[c for c in rows.columns if c not in ("bucket__", "follow__")])
-    last = last.join(chain, last["bucket__"] == chain["head__"]).drop("head__").join(heads, F.col("then__") == F.col("head__"))
-    last = last.withColumn("follow__", F.col("head_row__")).select(rows.columns)
-    joined = rows.where("follow__ is not null").unionByName(last)
-    return joined.select("*", *(F.col(f"follow__.{c}").alias(f"next_{c}") for c in columns)).drop("bucket__", "follow__", "first__")
+    low, buckets = low or 0, min(MAX_BUCKETS, max(1, n // BUCKET_ROWS))
+    width = max(1, ((high or 0) - low) // buckets + 1)
+    rows = rows.withColumn("bucket__", F.coalesce(F.floor((F.col(order) - F.lit(low)) / F.lit(width)).cast("long"), F.lit(-1).cast("long")))
+    heads = materialise(rows.groupBy("bucket__").agg(F.min(order).alias("head__")), "next-heads")
+    chain = Window.orderBy("bucket__")
+    last = F.first("bucket__").over(Window.orderBy(F.desc("bucket__")))
+    heads = heads.select("head__", F.coalesce(F.lag("bucket__").over(chain), last).alias("before__"))
+    again = rows.join(F.broadcast(heads), F.col(order).eqNullSafe(F.col("head__"))).withColumn("bucket__", F.col("before__")).drop("head__", "before__")
+    both = rows.withColumn("again__", F.lit(False)).unionByName(again.withColumn("again__", F.lit(True)))
+    inside = Window.partitionBy("bucket__").orderBy("again__", order, column)
+    return both.withColumn(f"next_{column}", F.lead(column).over(inside)).where("not again__").drop("bucket__", "again__")
 
 
 def fingerprints(docs: DataFrame, one_in: int = ONE_IN) -> DataFrame:
@@ -88,7 +83,8 @@ def fingerprints(docs: DataFrame, one_in: int = ONE_IN) -> DataFrame:
 
 
 def op7_document_fingerprints(spark, sf_dir: str) -> DataFrame:
-    rows = with_next(fingerprints(table(spark, sf_dir, "documents")), "doc_id", ["text", "sketch"])
+    rows = with_next(table(spark, sf_dir, "documents").select("doc_id", text_of().alias("text")), "doc_id", "text")
+    rows = rows.withColumn("sketch", sketch(F.col("text"))).withColumn("next_sketch", sketch(F.col("next_text")))
     n = F.char_length("text")
     swap = F.floor(n / 4).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - swap), F.substring(F.col("next_text"), F.lit(1), swap)))
