@@ -15,6 +15,8 @@ import tempfile
 
 import numpy as np
 
+from ._common import mix64, span_hashes
+
 CHUNK = 1 << 17
 
 
@@ -61,6 +63,22 @@ def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray, have: np.nda
     """Symbols shared by the suffixes a and b of each pair, of which `have` are known; cap at most."""
     n, out = len(text), np.minimum(have, cap).astype(np.int64)
     a, b, active = np.asarray(a, np.int64), np.asarray(b, np.int64), np.arange(len(out))
+    if text.dtype == np.uint8 and n >= 8:  # eight bytes at a time while both suffixes have them
+        wide = np.ndarray((n - 7,), "<u8", buffer=text, strides=(1,))
+        rest = []
+        while len(active):
+            p, q = a[active] + out[active], b[active] + out[active]
+            short = np.maximum(p, q) > n - 8
+            rest.append(active[short])
+            active, p, q = active[~short], p[~short], q[~short]
+            differ = wide[p] ^ wide[q]
+            low = (differ & (~differ + np.uint64(1))).astype(np.float64)
+            run = np.where(differ == 0, 8, np.log2(np.maximum(low, 1)).astype(np.int64) >> 3)
+            out[active] += run
+            active = active[(run == 8) & (out[active] < cap)]
+        out = np.minimum(out, cap)
+        active = np.concatenate(rest) if rest else active
+        active = active[out[active] < cap]
     width = 8
     while len(active):
         p, q = a[active] + out[active], b[active] + out[active]
@@ -81,24 +99,25 @@ def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray, have: np.nda
 
 
 def _seed_names(text: np.ndarray, types: np.ndarray, seeds: np.ndarray, space: Space) -> tuple[np.ndarray, int]:
-    """Rank of the substring from each seed to the next, both included; symbols compare with their types."""
+    """Rank of the substring from each seed to the next, both included; symbols compare with their types.
+    Substrings are told apart by a 64-bit hash and their length, and the distinct ones are sorted themselves."""
     n, m = len(text), len(seeds)
     names, known, keys = space.array(m, np.int64), {}, []
     for at in range(0, m, CHUNK):
         to = min(m, at + CHUNK)
         lo, hi = int(seeds[at]), n if to == m else int(seeds[to]) + 1
-        part = (np.asarray(text[lo:hi]).astype(np.int64) << 1 | types[lo:hi]).astype(">u8")
+        part = np.asarray(text[lo:hi]).astype(np.int64) << 1 | types[lo:hi]
         starts = np.asarray(seeds[at:to]).astype(np.int64) - lo
         ends = np.append(starts[1:] + 1, hi - lo)
-        raw, own = part.tobytes(), np.empty(to - at, np.int64)
-        for i, (s, e) in enumerate(zip((starts * 8).tolist(), (ends * 8).tolist())):
-            key = raw[s:e]
-            k = known.get(key)
+        found, first, inverse = np.unique(span_hashes(part, starts, ends) + mix64((ends - starts).astype(np.uint64)), return_index=True, return_inverse=True)
+        raw, own = part.astype(">u8").tobytes(), np.empty(len(found), np.int64)
+        for i, (h, s, e) in enumerate(zip(found.tolist(), (starts[first] * 8).tolist(), (ends[first] * 8).tolist())):
+            k = known.get(h)
             if k is None:
-                k = known[key] = len(keys)
-                keys.append(key)
+                k = known[h] = len(keys)
+                keys.append(raw[s:e])
             own[i] = k
-        names[at:to] = own
+        names[at:to] = own[inverse]
     order = sorted(range(len(keys)), key=keys.__getitem__)
     rank = np.empty(len(keys), np.int64)
     rank[order] = np.arange(len(keys))
@@ -115,7 +134,7 @@ def _small_order(text: np.ndarray, depth: int) -> np.ndarray:
         after = np.zeros(n, np.int64)
         after[: max(0, n - h)] = rank[h:] + 1
         key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.append(0, np.cumsum(key[order][1:] != key[order][:-1]))
         rank = np.empty(n, np.int64)
         rank[order] = new

@@ -24,7 +24,7 @@ from ._common import materialise, mix64, small_batches, span_hashes, table, text
 LENGTH = 400
 ANCHORS = (64, 368, 400)  # bytes; the last is the window itself
 HOT_KINDS = 4096
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 2_000_000
 BORDER = 0xFF  # no byte of UTF-8
 REGION = "u1 long, u2 long, key long, r long, lo long, size long, anchors long"
 
@@ -69,7 +69,7 @@ def regions(raw: np.ndarray, offsets: np.ndarray, k: int, length: int = LENGTH)
 
 def region_rows(units: DataFrame, k: int, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, 1_000_000):
             of, *rest = regions(*utf8(batch.column("text")), k, length)
             if len(of):
                 yield pa.RecordBatch.from_arrays([batch.column("u1").take(pa.array(of)), batch.column("u2").take(pa.array(of)), *map(pa.array, rest)], names=[x.split()[0] for x in REGION.split(", ")])
