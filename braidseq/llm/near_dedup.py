@@ -3,10 +3,12 @@
 A shingle is five words (all of them in a shorter text), ASCII-lower-cased. Its weight is its count in the
 text times its idf, the mean of the smoothed idf of its words; the words' document counts over the whole
 corpus are kept in DF_CELLS hashed cells, so what is broadcast never grows. Improved consistent weighted
-sampling (Ioffe, 2010) draws BANDS * ROWS samples; texts that agree on a band are candidates. A bucket is
-never expanded into all its pairs: first its members meet one pivot; then those not in one class yet meet
-the next FIRST_PIVOTS members, then four times as many, and so on, members of a pivot's own class left
-out, until every two members are in one class or compared. Large groups of copies fall into one class early.
+sampling (Ioffe, 2010) draws BANDS * ROWS samples; texts that agree on a band, or on two neighbouring ones,
+share a bucket. Exact copies count once. All members of a bucket are compared with its first; then, where
+they are not of one class yet, those of a bucket of at most SMALL with each other, and those of a larger
+one with PIVOTS more members, chosen anew in each band. So pairs grow with the members of a bucket, not
+with their square, and no member is dropped. What can be missed is a link that alone joins two classes
+inside a bucket of more than SMALL texts, neither end of it a pivot in any of their shared buckets.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from ._components import components
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 14, 3
 DF_CELLS = 1 << 20
-FIRST_PIVOTS, MEMBERS_PER_TASK_KEY = 8, 256
+SMALL, PIVOTS, MEMBERS_PER_TASK_KEY = 16, 2, 256
 GRID = 1 << 14
 
 
@@ -179,6 +181,18 @@ def verify(pairs: DataFrame, texts: DataFrame, idf, similarity: float = SIMILARI
     return rows.mapInArrow(run, "a long, b long")
 
 
+def longer_bands(bands):
+    """Each band together with the next: rows of twice the length, which tell the members of a dense family apart."""
+    return F.transform(F.sequence(F.lit(0), F.size(bands) - 1), lambda i: F.xxhash64(F.get(bands, i), F.get(bands, (i + 1) % F.size(bands))))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
+    """(u, v) of the pairs (a, b) that are similar enough."""
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS_PER_TASK_KEY).alias("salts"))
+    pairs = materialise(pairs.join(salts, "a"), "near-pairs")
+    return materialise(verify(pairs, texts, idf, similarity), "near-good").select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, copy_of): class_id is the least doc_id among the documents that links of at least
     the given weighted Jaccard similarity connect, copy_of the least one with the same word sequence.
@@ -192,41 +206,33 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     signed = materialise(sign(docs, idf), "near-signed")
     known = signed.where("doc_id is not null")
     kinds = materialise(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "near-kinds")
-    member = kinds.where("bands[0] <> 0").select("rep", F.posexplode("bands").alias("band", "h"))
-    size = member.groupBy("band", "h").agg(F.count("*").alias("n"), F.min("rep").alias("a")).where("n > 1")
-    member = materialise(member.join(size, ["band", "h"]).select("band", "h", "rep", "a"), "near-members")
+    member = kinds.where("bands[0] <> 0").select("rep", F.posexplode(F.concat("bands", longer_bands(F.col("bands")))).alias("band", "h"))
+    order = lambda seed: F.xxhash64("rep", "band", F.lit(seed))
+    size = member.groupBy("band", "h").agg(F.count("*").alias("n"), F.min("rep").alias("a"), F.array(*(F.min_by("rep", order(i)) for i in range(PIVOTS))).alias("more")).where("n > 1")
+    size = materialise(size, "near-buckets")
+    member = materialise(member.join(size.select("band", "h"), ["band", "h"], "left_semi"), "near-members")
 
     wanted = member.select(F.col("rep").alias("doc_id")).distinct()
     texts = materialise(docs.join(wanted, "doc_id").dropDuplicates(["doc_id"]), "near-texts")
 
-    pairs = member.where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    links, tested, done, more = None, None, 1, FIRST_PIVOTS
-    while True:
-        salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS_PER_TASK_KEY).alias("salts"))
-        pairs = materialise(pairs.join(salts, "a"), "near-pairs")
-        if pairs.isEmpty():
-            if tested is None:
-                break
-        else:
-            tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-            good = materialise(verify(pairs, texts, idf, similarity), "near-good").select(F.col("a").alias("u"), F.col("b").alias("v"))
-            # a class found before stands for its links
-            links = good if links is None else of.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(good)
-        of = materialise(components(links), "near-components")
-        placed = member.join(of, member["rep"] == of["node"], "left").select("band", "h", "rep", F.coalesce("component", "rep").alias("c"))
-        mixed = placed.groupBy("band", "h").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("band", "h")
-        ranked = placed.join(mixed, ["band", "h"], "left_semi").withColumn("k", F.row_number().over(Window.partitionBy("band", "h").orderBy("rep")))
-        ranked = materialise(ranked.where(F.col("k") > done), "near-ranked")
-        if ranked.isEmpty():
-            break
-        pivots = ranked.where(F.col("k") <= done + more).select("band", "h", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("k").alias("ka"))
-        pairs = ranked.join(pivots, ["band", "h"]).where("k > ka and c <> ca").select("a", F.col("rep").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        done, more = done + more, 4 * more
+    first = member.join(size.select("band", "h", "a"), ["band", "h"]).where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    links = verified(first, texts, idf, similarity)
+    of = materialise(components(links), "near-components")
+
+    placed = member.join(of, member["rep"] == of["node"], "left").select("band", "h", "rep", F.coalesce("component", "rep").alias("c"))
+    mixed = placed.groupBy("band", "h").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("band", "h")
+    mixed = materialise(mixed.join(size, ["band", "h"]), "near-mixed")
+    rest = placed.join(mixed.select("band", "h", "n", "more"), ["band", "h"])
+    small = rest.where(F.col("n") <= SMALL).groupBy("band", "h").agg(F.collect_list(F.struct("rep", "c")).alias("x"))
+    small = small.select("x", F.explode("x").alias("y")).select("y", F.explode("x").alias("z")).where("y.rep < z.rep and y.c <> z.c").select(F.col("y.rep").alias("a"), F.col("z.rep").alias("b"))
+    large = rest.where(F.col("n") > SMALL).select("rep", "c", F.explode("more").alias("a")).where("rep <> a").select(F.least("rep", "a").alias("a"), F.greatest("rep", "a").alias("b"), "c")
+    large = large.join(of.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left").join(of.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
+    large = large.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    second = small.unionByName(large).distinct().join(first, ["a", "b"], "left_anti")
+    links = verified(second, texts, idf, similarity).unionByName(of.select(F.col("node").alias("u"), F.col("component").alias("v")))  # a class stands for its links
+    of = materialise(components(links), "near-components")
     reps = kinds.select("d1", "d2", "rep")
-    if links is not None:
-        reps = reps.join(of, reps["rep"] == of["node"], "left").select("d1", "d2", "rep", F.coalesce("component", "rep").alias("class_id"))
-    else:
-        reps = reps.withColumn("class_id", F.col("rep"))
+    reps = reps.join(of, reps["rep"] == of["node"], "left").select("d1", "d2", "rep", F.coalesce("component", "rep").alias("class_id"))
     classed = known.select("doc_id", "d1", "d2").join(reps, ["d1", "d2"]).select("doc_id", "class_id", F.col("rep").alias("copy_of")).dropDuplicates(["doc_id"])
     nobody = F.lit(None).cast("long")
     return classed.unionByName(signed.where("doc_id is null").select("doc_id", nobody.alias("class_id"), nobody.alias("copy_of")))
