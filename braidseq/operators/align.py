@@ -7,33 +7,14 @@ comparison removes nearly all of them. The first success in (strand, stage, rank
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import counted, revcomp
+from ..sources.staging import staged
 from .graph import Graph
 
 NODE_OFFSETS, MAPQ, SECONDARY, REVERSE = 10, 30, 256, 16
-_folder: list[str] = []
-
-
-def _written(df: DataFrame) -> DataFrame:
-    """df by way of the shared checkpoint folder, so that rounds do not pile up in one plan."""
-    spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if base is None:
-        if not _folder:
-            own = tempfile.TemporaryDirectory(prefix="frontier-")
-            atexit.register(own.cleanup)
-            _folder.append(own.name)
-        base = _folder[0]
-    path = f"{base.rstrip('/')}/frontier-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def both_strands(reads: DataFrame) -> DataFrame:
@@ -74,6 +55,7 @@ def dfs_align(candidates: DataFrame, graph: Graph) -> DataFrame:
     nodes = graph.nodes.select("graph_id", F.col("node_id").alias("at"), "seq", "seg_len").withColumnRenamed("seq", "segment")
     closed = graph.nodes.select("graph_id", "node_id").join(graph.edges.select("graph_id", F.col("src").alias("node_id")), ["graph_id", "node_id"], "left_anti").select("graph_id", F.col("node_id").alias("at"), F.lit(True).alias("closed"))
     nodes = nodes.join(closed, ["graph_id", "at"], "left").withColumn("closed", F.coalesce("closed", F.lit(False)))
+    nodes, edges = staged(nodes, "frontier-nodes"), staged(graph.edges.withColumnRenamed("src", "at"), "frontier-edges")
     keep = candidates.columns
     front = candidates.withColumn("at", F.col("node_id")).withColumn("skip", F.col("offset")).withColumn("done", F.lit(0)).withColumn("trav", F.array().cast("array<bigint>"))
     found = None
@@ -82,13 +64,13 @@ def dfs_align(candidates: DataFrame, graph: Graph) -> DataFrame:
         n = F.least(F.col("seg_len") - F.col("skip"), F.length("seq") - F.col("done"))
         step = step.where(_agrees(F.substring(F.col("seq"), F.col("done") + 1, n), F.substring(F.col("segment"), F.col("skip") + 1, n)))
         step = step.withColumn("done", F.col("done") + n).withColumn("trav", F.concat("trav", F.array("at"))).withColumn("ends", (F.col("done") == F.length("seq")) | F.col("closed"))
-        step = _written(step.select(*keep, "at", "done", "trav", "ends"))
+        step = staged(step.select(*keep, "at", "done", "trav", "ends"), "frontier")
         ended = step.where("ends").select(*keep, "trav")
         found = ended if found is None else found.unionByName(ended)
         going = step.where("not ends")
         if going.isEmpty():
             return found
-        front = going.join(graph.edges.withColumnRenamed("src", "at"), ["graph_id", "at"]).select(*keep, F.col("dst").alias("at"), F.lit(0).alias("skip"), "done", "trav")
+        front = going.join(edges, ["graph_id", "at"]).select(*keep, F.col("dst").alias("at"), F.lit(0).alias("skip"), "done", "trav")
 
 
 def traversal_refs(matches: DataFrame, key: list[str], path_nodes: DataFrame) -> DataFrame:
