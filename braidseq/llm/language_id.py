@@ -9,7 +9,6 @@ per worker as long as its bounded memory has room.
 
 from __future__ import annotations
 
-import math
 import re
 import uuid
 from collections import Counter
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import small_batches, table
+from ._common import BASE, small_batches, table
 
 PIECES = "piece_bpe_32k.model"
 TRAIN_DOCS, TRAIN_CHARS, MAX_LANGS, ROUNDS = 400, 3000, 100, 2
@@ -101,49 +100,128 @@ def train(docs: DataFrame, docs_per_lang: int = TRAIN_DOCS, chars: int = TRAIN_C
     doc_id, and the first `chars` characters of each: a bound of the fit alone, at any corpus size. Of more
     than MAX_LANGS values of lang the most frequent are learned."""
     labelled = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id").alias("h"))
-    langs = sorted(r[0] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect())
+    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+    langs = sorted(sizes)
+    # most documents of a large language are left out by their hash alone, before anything is ranked
+    share = F.lit(0.0)
+    for lang, n in sizes.items():
+        share = F.when(F.col("lang") == lang, min(1.0, 4 * docs_per_lang / n)).otherwise(share)
+    near = labelled.where((F.col("h") / 2.0**64 + 0.5) <= share).select("lang", "h", F.substring("text", 1, chars).alias("text"))
     first = Window.partitionBy("lang").orderBy("h")
-    sample = labelled.withColumn("k", F.row_number().over(first)).where(F.col("k") <= docs_per_lang)
+    sample = near.withColumn("k", F.row_number().over(first)).where(F.col("k") <= docs_per_lang)
     counts: dict[str, Counter] = {lang: Counter() for lang in langs}
-    for row in sample.select("lang", F.substring("text", 1, chars).alias("text")).toLocalIterator():
+    for row in sample.select("lang", "text").toLocalIterator():
         if row.lang in counts:
             counts[row.lang].update(row.text.split())
     pieces = vocabulary(path)
     return langs, pieces, np.array([fit(counts[lang], pieces) for lang in langs]).reshape(len(langs), len(pieces))
 
 
+class PieceTable:
+    """Finds pieces by 64-bit hashes of their letters, many places at a time; what collides goes to a further table."""
+
+    SLOTS = 1 << 18
+
+    def __init__(self, pieces: dict[str, int]):
+        names = sorted(pieces, key=pieces.__getitem__)
+        text = np.frombuffer("".join(names).encode("utf-32-le"), "<u4")
+        ends = np.cumsum([len(p) for p in names]) if names else np.zeros(0, np.int64)
+        keys = np.zeros(len(names), np.uint64)
+        for k, (end, name) in enumerate(zip(ends, names)):
+            h = np.uint64(0)
+            with np.errstate(over="ignore"):
+                for c in text[end - len(name) : end]:
+                    h = h * np.uint64(BASE) + np.uint64(c) + np.uint64(1)
+            keys[k] = h
+        self.missing, self.tables = len(names), []
+        left = np.arange(len(names))
+        while len(left):
+            slot = self._slot(keys[left], len(self.tables))
+            _, first = np.unique(slot, return_index=True)
+            table_keys, table_ids = np.zeros(self.SLOTS, np.uint64), np.full(self.SLOTS, self.missing, np.int32)
+            table_keys[slot[first]], table_ids[slot[first]] = keys[left[first]], left[first]
+            self.tables.append((table_keys, table_ids))
+            left = np.delete(left, first)
+
+    def _slot(self, keys: np.ndarray, nth: int) -> np.ndarray:
+        return ((keys * np.uint64(0x9FB21C651E98DF25 + 2 * nth)) >> np.uint64(46)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(len(keys), self.missing, np.int32)
+        for nth, (table_keys, table_ids) in enumerate(self.tables):
+            slot = self._slot(keys, nth)
+            hit = (table_keys[slot] == keys) & (table_ids[slot] < self.missing)
+            out[hit] = table_ids[slot[hit]]
+        return out
+
+
 class Scorer:
-    """Log probabilities of words in every language."""
+    """Log probabilities of words in every language. Its memory of words and runs stops growing at REMEMBER
+    each; what is not remembered is scored again."""
 
     def __init__(self, langs: list[str], pieces: dict[str, int], p: np.ndarray):
-        self.langs, self.pieces = langs, pieces
-        self.p = [row.tolist() for row in p]
-        self.row, self.size = {}, 0
-        self.table = np.zeros((1024, len(langs)))
-
-    def word(self, word: str) -> list[float]:
-        out = [0.0] * len(self.langs)
-        for run in runs_of(word):
-            ends = lattice(run, self.pieces)
-            for k, p in enumerate(self.p):
-                out[k] += math.log(max(forward(ends, p)[-1], 1e-300))
+        self.langs, self.pieces = langs, PieceTable(pieces)
+        self.p = np.concatenate([p.T, np.zeros((1, len(langs))), np.full((1, len(langs)), UNKNOWN)])
+        self.words: dict[str, int] = {}
+        self.runs: dict[str, int] = {}
+        self.word_rows, self.run_rows = np.zeros((0, len(langs))), np.zeros((0, len(langs)))
+
+    def score_runs(self, runs: list[str]) -> np.ndarray:
+        """The forward pass for many runs at a time: rows of log probabilities."""
+        out = np.zeros((len(runs), len(self.langs)))
+        if not runs:
+            return out
+        text = np.frombuffer("".join(runs).encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
+        sizes = np.array(list(map(len, runs)))
+        begins = np.cumsum(sizes) - sizes
+        found, h = [], np.zeros(len(text), np.uint64)
+        for width in range(1, MAX_PIECE + 1):
+            if width > len(text):
+                break
+            h = h[: len(text) - width + 1] * np.uint64(BASE) + text[width - 1 :]
+            ids = self.pieces.find(h)
+            if width == 1:
+                ids[ids == self.pieces.missing] = self.pieces.missing + 1  # a letter of its own
+            found.append(ids)
+        for size in np.unique(sizes):
+            at = np.flatnonzero(sizes == size)
+            a = np.zeros((size + 1, len(at), len(self.langs)))
+            a[0] = 1
+            for j in range(1, size + 1):
+                for width in range(1, min(j, MAX_PIECE) + 1):
+                    a[j] += a[j - width] * self.p[found[width - 1][begins[at] + j - width]]
+            out[at] = np.log(np.maximum(a[size], 1e-300))
         return out
 
+    def _rows(self, fresh: list[str]) -> np.ndarray:
+        split = [runs_of(w) for w in fresh]
+        new = list({r for runs in split for r in runs} - self.runs.keys())
+        rows = np.concatenate([self.run_rows, self.score_runs(new)])
+        place = dict(zip(new, range(len(self.run_rows), len(rows))))
+        if len(self.runs) < REMEMBER:
+            self.runs.update(place)
+            self.run_rows, place = rows, self.runs
+        else:
+            place = place | {r: self.runs[r] for runs in split for r in runs if r in self.runs}
+        at = np.fromiter((place[r] for runs in split for r in runs), np.int64)
+        of = np.repeat(np.arange(len(split)), list(map(len, split))) if split else np.zeros(0, np.int64)
+        return np.stack([np.bincount(of, rows[at, k], len(fresh)) for k in range(len(self.langs))], 1) if self.langs else np.zeros((len(fresh), 0))
+
     def texts(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bool]]:
         """(log probability per language, whether the text has a letter)."""
         split = [t.split() for t in texts]
-        if len(self.row) > REMEMBER:
-            self.row, self.size = {}, 0
-        fresh = set().union(*split) - self.row.keys() if split else set()
-        while len(self.table) < self.size + len(fresh):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        for word in fresh:
-            self.table[self.size] = self.word(word)
-            self.row[word] = self.size
-            self.size += 1
+        distinct = set().union(*split)
+        fresh = list(distinct - self.words.keys())
+        rows = np.concatenate([self.word_rows, self._rows(fresh)])
+        place = dict(zip(fresh, range(len(self.word_rows), len(rows))))
+        if len(self.words) < REMEMBER:
+            self.words.update(place)
+            self.word_rows, place = rows, self.words
+        else:
+            place |= {w: self.words[w] for w in distinct - place.keys()}
         for words, text in zip(split, texts):
-            at = np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
-            total = self.table[at].sum(0) if len(at) else np.zeros(len(self.langs))
+            at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+            total = rows[at].sum(0)
             yield total, bool(total.any()) or any(c.isalpha() for c in text)
 
 
