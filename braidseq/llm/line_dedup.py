@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACES, hash128, once, table, text_of
+from ._common import SPACES, hash128, materialise, once, table, text_of
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 THRESHOLD, MIN_CHARS = 10, 1
@@ -51,17 +51,17 @@ def line_dedup(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN
     lines becomes ''. Equal rows (same doc_id and text) count as documents of their own and lose the same
     lines. Extra columns pass through, n_lines and n_dropped excepted, which are replaced.
     """
-    common = common_lines(docs, threshold, min_chars).select("h1", "h2")
+    common = materialise(common_lines(docs, threshold, min_chars).select("h1", "h2"), "line-common")
     hits = line_hashes(docs, min_chars).join(common, ["h1", "h2"], "left_semi")
     drop = hits.groupBy("d1", "d2").agg(F.collect_set("pos").alias("drop__"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     lines = F.split(text_of(), "\n", -1)
-    wide = docs.select(*names, *document_key()).join(drop, ["d1", "d2"], "left")
+    wide = docs.select(F.struct(*names).alias("row"), "text", *document_key()).join(drop, ["d1", "d2"], "left")
     kept_of = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("drop__"))
     cut = once(lines, lambda x: F.array_join(F.transform(kept_of(x), lambda i: F.get(x, i)), "\n"))
     text = F.when(F.col("drop__").isNull(), text_of()).otherwise(cut)
     n_dropped = F.when(F.col("drop__").isNull(), F.lit(0)).otherwise(F.size("drop__")).cast("long")
-    return wide.select(*(text.alias("text") if c == "text" else F.col(c) for c in names), F.size(lines).cast("long").alias("n_lines"), n_dropped.alias("n_dropped"))
+    return wide.select(*(text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in names), F.size(lines).cast("long").alias("n_lines"), n_dropped.alias("n_dropped"))
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
