@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ._common import WORD, materialise, table, text_of
 
 BLOCK_WORDS, SHARD_WORDS, MAX_EPOCHS, SEED = 64, 1_000_000, 3, 17
+MADE = ("size", "source_size", "target", "taken", "mix_plan")
 STEP = 2147483629  # prime; b -> (b * STEP + shift) mod n permutes the blocks 0..n-1 of a shard
 
 
@@ -66,19 +67,19 @@ def apportion(parties: DataFrame, group: list[str], key: str, votes: str, seats:
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """docs with size, source_size, target, taken and the plan of each document.
+    """docs with size, source_size, target, taken and mix_plan of each document.
 
     Needs doc_id, source and text; columns of docs named like one of the new ones are replaced. A null text has size 0,
     a null source is a source of its own, ranked last; documents without words are taken 0 times. Equal
     rows are documents of their own. An empty table gives an empty one. Reruns agree: the order inside a
     shard is by a seeded hash of doc_id, then by size and text hash.
 
-    Plan: epochs__ whole passes over the shard, and of its n_blocks__ blocks of block_words words (the last
+    mix_plan: epochs__ whole passes over the shard, and of its n_blocks__ blocks of block_words words (the last
     may be shorter) those b with (b * STEP + shift__) % n_blocks__ < extra__; start__ is the document's
     first word in the shard.
     """
-    made = ("size", "source_size", "target", "taken")
-    plain = docs.select(*(c for c in docs.columns if c not in made))
+    names = [c for c in docs.columns if c not in MADE]
+    plain = docs.select(F.struct(*names).alias("row"), "doc_id", "source", "text")
     sized = plain.withColumn("size", F.regexp_count(text_of(), F.lit(WORD)).cast("long"))
     sized = sized.withColumn("h__", md5_int(F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("t__", F.xxhash64("text"))
     sizes = materialise(sized.select("source", "size", "h__"), "mix-sizes")
@@ -109,7 +110,9 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHAR
     part = lambda b: F.least(F.col("start__") + F.col("size"), (b + 1) * block_words) - F.greatest(F.col("start__"), b * block_words)
     read = F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), lambda had, b: had + F.when(chosen(b), part(b)).otherwise(F.lit(0).cast("long")))
     taken = F.col("epochs__") * F.col("size") + F.when((F.col("size") > 0) & (F.col("extra__") > 0), read).otherwise(0)
-    return laid.withColumn("taken", taken.cast("long")).drop("s__", "h__", "t__", "rank", "shard", "shards")
+    plan = F.struct("start__", "epochs__", "n_blocks__", "extra__", "shift__")
+    laid = laid.select("row", F.struct("size", "source_size", "target", taken.cast("long").alias("taken"), plan.alias("mix_plan")).alias("made__"))
+    return laid.select(*(F.col("row")[c].alias(c) for c in names), *(F.col("made__")[c].alias(c) for c in MADE))
 
 
 def chosen(block: Column) -> Column:
@@ -122,13 +125,14 @@ def realise(mixed: DataFrame, columns: list[str], block_words: int = BLOCK_WORDS
     A partial copy joins its words by single spaces; where the chosen blocks hold the whole document its
     text stays as it is.
     """
+    rows = mixed.where(F.col("taken") > 0).select(F.struct(*columns).alias("row"), "text", "size", "taken", "mix_plan.*")
     rest = F.col("taken") - F.col("epochs__") * F.col("size")
     words = F.regexp_extract_all(text_of(), F.lit(f"({WORD})"), F.lit(1))
     cut = F.array_join(F.filter(words, lambda w, i: chosen(F.floor((F.col("start__") + i) / block_words))), " ")
     text = F.when(F.col("copy__") < F.col("epochs__"), F.col("text")).when(rest == F.col("size"), F.col("text")).otherwise(cut)
     copies = F.col("epochs__") + F.when(rest > 0, 1).otherwise(0)
-    out = mixed.where(F.col("taken") > 0).withColumn("copy__", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
-    return out.select(*(text.alias("text") if c == "text" else F.col(c) for c in columns))
+    out = rows.withColumn("copy__", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
+    return out.select(*(text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in columns))
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
@@ -138,7 +142,9 @@ def op10_mixing(spark, sf_dir: str) -> DataFrame:
 
 def stage_mixing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """n_chars follows the text of each copy."""
-    out = realise(mix(docs), docs.columns)
+    whole = docs.withColumn("mix_row", F.struct(*docs.columns)).select("doc_id", "source", "text", "mix_row")
+    out = realise(mix(whole), ["text", "mix_row"])
+    out = out.select(*(F.col("text") if c == "text" else F.col("mix_row")[c].alias(c) for c in docs.columns))
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
