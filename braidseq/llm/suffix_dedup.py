@@ -128,7 +128,9 @@ def repeats(units: DataFrame, length: int = LENGTH, anchors: tuple[int, ...] = A
     kinds = materialise(kinds.select("key", "r", "copies", "at.*"), "suffix-kinds")
     per_key = materialise(kinds.groupBy("key").agg(F.count("*").alias("kinds")), "suffix-per-key")
     kinds = kinds.join(per_key, "key")
-    out = kinds.where("copies > 1").select("key", "r", F.lit(0).cast("long").alias("s"), (F.col("size") - length).alias("e"))
+    # where the anchor is the whole window, an anchor that occurs again is a window that occurs again
+    known = F.col("copies") > 1 if k < length else F.lit(True)
+    out = kinds.where(known).select("key", "r", F.lit(0).cast("long").alias("s"), (F.col("size") - length).alias("e"))
 
     alone = F.col("kinds") == 1
     compared = kinds.where(~(alone & (F.col("copies") > 1)))
