@@ -163,7 +163,18 @@ def repeated(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def small_batches(batches, limit: int = 2_000_000):
+#: What operators keep in a Python worker between tasks, by operator.
+worker_memory: dict[str, dict] = {}
+
+
+def keep_only(operator: str) -> None:
+    """Called as an operator's task begins: a reused worker lets go of what other operators have kept."""
+    for name, kept in worker_memory.items():
+        if name != operator:
+            kept.clear()
+
+
+def small_batches(batches, limit: int = 1_000_000):
     """Cut Arrow batches with a `text` column so that one slice holds about limit bytes; a longer text stands alone."""
     for batch in batches:
         if not batch.num_rows:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import BASE, small_batches, table
+from ._common import BASE, keep_only, small_batches, table, worker_memory
 
 PIECES = "piece_bpe_32k.model"
 TRAIN_DOCS, TRAIN_CHARS, MAX_LANGS, ROUNDS = 400, 3000, 100, 2
@@ -225,7 +225,7 @@ class Scorer:
             yield total, bool(total.any()) or any(c.isalpha() for c in text)
 
 
-_scorers: dict[str, Scorer] = {}
+_scorers: dict[str, Scorer] = worker_memory.setdefault("language_id", {})
 
 
 def identify(docs: DataFrame, model: tuple[list[str], dict[str, int], np.ndarray]) -> DataFrame:
@@ -239,11 +239,12 @@ def identify(docs: DataFrame, model: tuple[list[str], dict[str, int], np.ndarray
     kind, key = docs.schema["doc_id"].dataType.simpleString(), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("language_id")
         if key not in _scorers:  # one scorer per Python worker, which lives through its tasks
             _scorers.clear()
             _scorers[key] = Scorer(*shared.value)
         scorer = _scorers[key]
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, 2_000_000):
             pred, score = [], []
             for total, letters in scorer.texts([t or "" for t in batch.column("text").to_pylist()]):
                 if not letters or not scorer.langs:

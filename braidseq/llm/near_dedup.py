@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise, mix64, ngram_hashes, small_batches, span_hashes, table, utf8, word_spans
+from ._common import keep_only, materialise, mix64, ngram_hashes, small_batches, span_hashes, table, utf8, word_spans
 from ._components import components
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 14, 3
@@ -42,6 +42,7 @@ def document_counts(docs: DataFrame) -> np.ndarray:
     """In each hashed cell, the number of documents with a word of the cell. At most DF_CELLS rows reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("near_dedup")
         cells = np.zeros(DF_CELLS, np.int64)
         for batch in small_batches(batches):
             words, of = words_of(batch)

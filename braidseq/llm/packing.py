@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, small_batches, table
+from ._common import keep_only, materialise, small_batches, table, worker_memory
 
 CAPACITY, END_ID, FAN_IN, NEARLY_FULL = 4096, 1, 16, 8
 TOKENIZER = "word_bpe_49k.json"
@@ -68,9 +68,11 @@ class WordEncoder:
     def _encode_words(self, fresh: set[str]) -> dict[str, bytes]:
         cut, odd, plain = {}, [], PLAIN.fullmatch
         for word in fresh:
-            if plain(word) and "<|" not in word:
+            if word.isalpha() and plain(word):
+                cut[word] = (word.lower(),)
+            elif "<|" not in word and plain(word):
                 lower = word.lower()
-                cut[word] = (lower,) if lower.isalpha() else PART.findall(lower)
+                cut[word] = (lower[:-1], lower[-1]) if lower[-1] in ".,;:!?" and lower[:-1].isalpha() else PART.findall(lower)
             else:
                 odd.append(word)
         new = self._encode_parts(list({p for parts in cut.values() for p in parts} - self.parts.keys()))
@@ -86,7 +88,7 @@ class WordEncoder:
         return out
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        split = [_split(t) for t in texts]
+        split = [_split(_lower(t)) for t in texts]
         distinct = set().union(*split)
         new = self._encode_words(distinct - self.words.keys())
         if len(self.words) < REMEMBER_WORDS:
@@ -98,6 +100,18 @@ class WordEncoder:
             yield b"".join(map(known.__getitem__, words))
 
 
+def _lower(text: str) -> str:
+    """Lower case, as the vocabulary has it, for texts of Latin-1 characters alone, whose letters lower one to one."""
+    if "<|" in text:  # a special token's spelling counts only as it is
+        return text
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+    return text.lower()
+
+
 def _split(text: str) -> list[str]:
     """Split at white space that every rule of the vocabulary treats as a border."""
     if (text.isascii() or not WIDE.search(text)) and not CONTROL.search(text):
@@ -113,8 +127,8 @@ PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9
 CONTROL = re.compile("[\x1c-\x1f]")
 WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 BORDERS = dict.fromkeys(range(9, 14), " ")
-REMEMBER_WORDS, REMEMBER_PARTS = 300_000, 400_000
-_encoders: dict[str, WordEncoder] = {}
+REMEMBER_WORDS, REMEMBER_PARTS = 250_000, 350_000
+_encoders: dict[str, WordEncoder] = worker_memory.setdefault("packing", {})
 
 
 def encoder_of(path: str) -> WordEncoder:
@@ -177,9 +191,10 @@ def local_pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, at long, node long, up long"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("packing")
         encoder, end, node = encoder_of(path), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         docs_of, rows = [], []
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, 2_000_000):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts)):
                 for row in pieces_of(ids + end, capacity):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, mix64, ngram_hashes, repeated, small_batches, span_hashes, table, utf8, word_spans
+from ._common import keep_only, materialise, mix64, ngram_hashes, repeated, small_batches, span_hashes, table, utf8, word_spans
 
 LABELLED, POOL, ROUNDS, PER_ROUND = 4000, 4000, 4, 200
 WORD_CELLS, META_CELLS, SHAPES = 256, 64, 12
@@ -193,6 +193,7 @@ def classify(docs: DataFrame, model: CoTrained | None, keep_from: float = KEEP_F
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("quality_classifier")
         for batch in small_batches(batches):
             if shared.value is None:
                 found = (np.full(batch.num_rows, 0.5),) * 3

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import mix64, ngram_hashes, repeated, small_batches, span_hashes, table, utf8, word_spans
+from ._common import keep_only, mix64, ngram_hashes, repeated, small_batches, span_hashes, table, utf8, word_spans
 
 SYMBOLS = b"#*$%&|<>"
 #: Word windows whose repeats are measured, and the share of word characters from which a text fails.
@@ -86,6 +86,7 @@ def quality_measures(docs: DataFrame, windows=tuple(COVERAGE), keep: tuple[str,
     schema = ", ".join([*(f"k{i} {source.schema[i].dataType.simpleString()}" for i in range(len(keep))), *(f"{n} bigint" for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("quality_rules")
         for batch in small_batches(batches):
             found = measure(*utf8(batch.column("text")), windows)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *(pa.array(found[n]) for n in names)], names=[*(f"k{i}" for i in range(len(keep))), *names])

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bloom import BlockedBloom
-from ._common import materialise, mix64, small_batches, span_hashes, table, text_of, utf8
+from ._common import keep_only, materialise, mix64, small_batches, span_hashes, table, text_of, utf8
 
 LENGTH = 400
 ANCHORS = (64, 368, 400)  # bytes; the last is the window itself
@@ -69,7 +69,8 @@ def regions(raw: np.ndarray, offsets: np.ndarray, k: int, length: int = LENGTH)
 
 def region_rows(units: DataFrame, k: int, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 1_000_000):
+        keep_only("suffix_dedup")
+        for batch in small_batches(batches, 500_000):
             of, *rest = regions(*utf8(batch.column("text")), k, length)
             if len(of):
                 yield pa.RecordBatch.from_arrays([batch.column("u1").take(pa.array(of)), batch.column("u2").take(pa.array(of)), *map(pa.array, rest)], names=[x.split()[0] for x in REGION.split(", ")])
