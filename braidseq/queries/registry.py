@@ -90,11 +90,11 @@ def parse_msa(spark, sf_dir):
     return IO.parse_msa(fasta_lines(spark, sf_dir))
 
 
-@query("SELECT conv_id, turn, starts_with(text, 'T') AS ok FROM conversations WHERE text IS NOT NULL")
+@query("SELECT conv_id, turn, starts_with(text, 'T') AS ok FROM conversations")
 def validate_reads(spark, sf_dir):
     """Turns whose first letter is T stand for reads with a proper id."""
-    rows = D.table(spark, sf_dir, "conversations").where("text is not null").withColumn("read_id", F.when(F.col("text").startswith("T"), F.concat(F.lit("@"), "text")).otherwise(F.col("text").substr(2, 20)))
-    return IO.validate_reads(rows.withColumn("read_id", F.when(F.col("text").startswith("T"), F.col("read_id")).otherwise(F.concat(F.lit("x"), "read_id"))), False).select("conv_id", "turn", "ok")
+    rows = D.table(spark, sf_dir, "conversations").withColumn("read_id", F.concat(F.when(F.col("text").startswith("T"), "@").otherwise("x"), "text"))
+    return IO.validate_reads(rows, False).select("conv_id", "turn", "ok")
 
 
 def gfa_file(spark, sf_dir):
@@ -129,17 +129,17 @@ def gfa_total_kmers(spark, sf_dir):
     return IO.gfa_total_kmers(lines)
 
 
-@query("SELECT graph_id, path_id, '>' || name || chr(10) || seq AS line FROM seqs WHERE path_id % 2 = 0")
+@query("SELECT graph_id, path_id, '>' || name || chr(10) || seq AS line FROM seqs")
 def alleles_fasta(spark, sf_dir):
     g = D.graph(spark, sf_dir)
-    return IO.fasta_lines(g.paths.where("path_id % 2 = 0"), G.graph_to_sequences(g.path_nodes, g.nodes))
+    return IO.fasta_lines(g.paths, G.graph_to_sequences(g.path_nodes, g.nodes))
 
 
 # --- functions -----------------------------------------------------------------------------------
-@query("SELECT doc_id, regexp_replace(upper(substr(text, 1, length(text))), '[^ACGTN]', 'N', 'g') AS seq FROM documents WHERE text SIMILAR TO '[ -~\\s]*'")
+@query("SELECT doc_id, regexp_replace(upper(regexp_replace(text, '[^ -~]', '-', 'g')), '[^ACGTN]', 'N', 'g') AS seq FROM documents")
 def base_check(spark, sf_dir):
-    """Texts of ASCII, whose upper case all engines agree on."""
-    return D.table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[ -~\s]*$")).select("doc_id", Q.base_check(F.col("text")).alias("seq"))
+    """Whole texts; what is not printable ASCII becomes a dash first, as engines differ in its upper case."""
+    return D.table(spark, sf_dir, "documents").select("doc_id", Q.base_check(F.regexp_replace("text", "[^ -~]", "-")).alias("seq"))
 
 
 @query(f"SELECT doc_id, start, {rc('seq')} AS seq FROM doc_reads")
