@@ -32,6 +32,15 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+class Words(dict):
+    """Remembered words, and beside them those of the slice at hand."""
+
+    beside: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        return self.beside[word]
+
+
 class WordEncoder:
     """Token ids of whole texts as little-endian uint32 bytes.
 
@@ -46,7 +55,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
+        self.words = Words()
         self.parts: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -68,7 +77,7 @@ class WordEncoder:
     def _encode_words(self, fresh: set[str]) -> dict[str, bytes]:
         cut, odd, plain = {}, [], PLAIN.fullmatch
         for word in fresh:
-            if word.isalpha() and plain(word):
+            if word.isalpha() and (word.isascii() or plain(word)):
                 cut[word] = (word.lower(),)
             elif "<|" not in word and plain(word):
                 lower = word.lower()
@@ -93,11 +102,11 @@ class WordEncoder:
         new = self._encode_words(distinct - self.words.keys())
         if len(self.words) < REMEMBER_WORDS:
             self.words.update(new)
-            known = self.words
-        else:
-            known = new | {w: self.words[w] for w in distinct - new.keys()}
+            new = {}
+        self.words.beside = new
         for words in split:
-            yield b"".join(map(known.__getitem__, words))
+            yield b"".join(map(self.words.__getitem__, words))
+        self.words.beside = {}
 
 
 def _lower(text: str) -> str:
@@ -194,7 +203,7 @@ def local_pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
         keep_only("packing")
         encoder, end, node = encoder_of(path), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         docs_of, rows = [], []
-        for batch in small_batches(batches, 2_000_000):
+        for batch in small_batches(batches, 3_000_000):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts)):
                 for row in pieces_of(ids + end, capacity):
