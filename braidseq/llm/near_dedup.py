@@ -6,9 +6,10 @@ corpus are kept in DF_CELLS hashed cells, so what is broadcast never grows. Impr
 sampling (Ioffe, 2010) draws BANDS * ROWS samples; texts that agree on a band, or on two neighbouring ones,
 share a bucket. Exact copies count once. All members of a bucket are compared with its first; then, where
 they are not of one class yet, those of a bucket of at most SMALL with each other, and those of a larger
-one with PIVOTS more members, chosen anew in each band. So pairs grow with the members of a bucket, not
-with their square, and no member is dropped. What can be missed is a link that alone joins two classes
-inside a bucket of more than SMALL texts, neither end of it a pivot in any of their shared buckets.
+one with PIVOTS more members, chosen anew in each band. Larger buckets that are of several classes even
+then are compared in full, block against block through an inverted index, except for two members of the
+bucket's most frequent class. So any two texts that share a bucket are in one class or were compared. Rows
+of that last step are members times blocks, not pairs; its CPU time still grows with the pairs.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from ._components import components
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 14, 3
 DF_CELLS = 1 << 20
 SMALL, PIVOTS, MEMBERS_PER_TASK_KEY = 16, 2, 256
+BLOCK_WORDS = 1 << 20
 GRID = 1 << 14
 
 
@@ -119,7 +121,7 @@ def signatures(keys: np.ndarray, weights: np.ndarray, first: np.ndarray, bands:
 
 
 def sign(docs: DataFrame, idf) -> DataFrame:
-    """(doc_id, d1, d2, bands): two hashes of the word sequence and the band hashes."""
+    """(doc_id, d1, d2, n_words, bands): two hashes of the word sequence, its length and the band hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -134,9 +136,9 @@ def sign(docs: DataFrame, idf) -> DataFrame:
                 ends = np.cumsum(n_words)
                 digests.append(mix64(total[ends] - total[ends - n_words] + n_words.astype(np.uint64)).view(np.int64))
             lists = pa.ListArray.from_arrays(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32), pa.array(bands.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests[0]), pa.array(digests[1]), lists], names=["doc_id", "d1", "d2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests[0]), pa.array(digests[1]), pa.array(n_words), lists], names=["doc_id", "d1", "d2", "n_words", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, d1 long, d2 long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, d1 long, d2 long, n_words long, bands array<long>")
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -194,6 +196,77 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> Data
     return materialise(verify(pairs, texts, idf, similarity), "near-good").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+class Block:
+    """An inverted index over the shingles of some texts."""
+
+    def __init__(self, texts: list[tuple[np.ndarray, np.ndarray]]):
+        self.totals = np.array([w.sum() for _, w in texts])
+        keys, self.weights = (np.concatenate([t[k] for t in texts]) for k in (0, 1))
+        order = np.argsort(keys)
+        self.keys, self.weights = keys[order], self.weights[order]
+        self.of = np.repeat(np.arange(len(texts)), [len(k) for k, _ in texts])[order]
+
+    def likeness(self, keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The weighted Jaccard similarity of a text with shingles to each text of the block."""
+        low = np.searchsorted(self.keys, keys)
+        times = np.searchsorted(self.keys, keys, "right") - low
+        at = np.arange(times.sum()) + np.repeat(low - (np.cumsum(times) - times), times)
+        both = np.bincount(self.of[at], np.minimum(self.weights[at], np.repeat(weights, times)), len(self.totals))
+        return both / (self.totals + weights.sum() - both)
+
+
+def verify_all(members: DataFrame, texts: DataFrame, idf, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) of similar texts of different classes among all members (band, h, rep, c, n_words) of each bucket.
+
+    Members that are not of the bucket's most frequent class are dealt into blocks of about BLOCK_WORDS by
+    ranges of a hash, and each block is indexed. All members, dealt into stretches of that size, stream past
+    the blocks one at a time; of two indexed members the one with the greater hash streams past the other.
+    """
+    classes = members.groupBy("band", "h", "c").agg(F.count("*").alias("n"), F.sum("n_words").alias("w"))
+    buckets = classes.groupBy("band", "h").agg(F.max_by("c", F.struct("n", "c")).alias("top"), F.sum("w").alias("w"), F.max_by("w", F.struct("n", "c")).alias("top_w"))
+    parts = lambda words: F.ceil(words / BLOCK_WORDS)
+    buckets = buckets.select("band", "h", "top", parts(F.col("w") - F.col("top_w")).alias("blocks"), parts(F.col("w")).alias("stretches"))
+    placed = members.join(buckets, ["band", "h"]).withColumn("o", F.pmod(F.xxhash64("rep"), F.lit(1 << 30)))
+    placed = placed.withColumn("free", F.col("c") != F.col("top")).withColumn("block", F.floor(F.col("o") * F.col("blocks") / (1 << 30)))
+    own = F.pmod(F.xxhash64("rep", F.lit(1)), "stretches")
+    columns = ["band", "h", "rep", "c", "o", "free"]
+    indexed = placed.where("free").select(*columns, F.lit(0).alias("role"), "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("stretches") - 1)).alias("stretch"))
+    last = F.when(F.col("free"), F.col("block")).otherwise(F.col("blocks") - 1)
+    streamed = placed.select(*columns, F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"), own.alias("stretch"))
+    rows = materialise(indexed.unionByName(streamed), "near-blocks")
+    rows = rows.join(texts, rows["rep"] == texts["doc_id"]).select("band", "h", "block", "stretch", "role", "rep", "c", "o", "free", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held, block, known = None, [], None, []
+        for batch in small_batches(batches):
+            words, docs = words_of(batch)
+            keys, weights, first = shingles(words, docs, batch.num_rows, idf.value)
+            places = list(zip(*(batch.column(i).to_pylist() for i in range(4))))
+            role, rep, c, o, free = (batch.column(i).to_pylist() for i in range(4, 9))
+            found = []
+            for i in range(batch.num_rows):
+                own = keys[first[i] : first[i + 1]], weights[first[i] : first[i + 1]]
+                if places[i] != here:
+                    here, held, block, known = places[i], [], None, []
+                if role[i] == 0:
+                    held.append((own[0].copy(), own[1].copy()))
+                    known.append((rep[i], c[i], o[i]))
+                    continue
+                if not known:
+                    continue
+                if block is None:
+                    block, held, (reps, cs, order) = Block(held), [], map(np.array, zip(*known))
+                hit = (block.likeness(*own) >= similarity) & (cs != c[i])
+                if free[i]:
+                    hit &= (order < o[i]) | (order == o[i]) & (reps < rep[i])
+                found += [(min(rep[i], a), max(rep[i], a)) for a in reps[hit].tolist()]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
+
+    rows = rows.repartition("band", "h", "block", "stretch").sortWithinPartitions("band", "h", "block", "stretch", "role")
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, copy_of): class_id is the least doc_id among the documents that links of at least
     the given weighted Jaccard similarity connect, copy_of the least one with the same word sequence.
@@ -206,8 +279,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     idf = docs.sparkSession.sparkContext.broadcast(idf_cells(docs))
     signed = materialise(sign(docs, idf), "near-signed")
     known = signed.where("doc_id is not null")
-    kinds = materialise(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "near-kinds")
-    member = kinds.where("bands[0] <> 0").select("rep", F.posexplode(F.concat("bands", longer_bands(F.col("bands")))).alias("band", "h"))
+    kinds = materialise(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands")), "near-kinds")
+    member = kinds.where("bands[0] <> 0").select("rep", "n_words", F.posexplode(F.concat("bands", longer_bands(F.col("bands")))).alias("band", "h"))
     order = lambda seed: F.xxhash64("rep", "band", F.lit(seed))
     size = member.groupBy("band", "h").agg(F.count("*").alias("n"), F.min("rep").alias("a"), F.array(*(F.min_by("rep", order(i)) for i in range(PIVOTS))).alias("more")).where("n > 1")
     size = materialise(size, "near-buckets")
@@ -232,6 +305,16 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     second = small.unionByName(large).distinct().join(first, ["a", "b"], "left_anti")
     links = verified(second, texts, idf, similarity).unionByName(of.select(F.col("node").alias("u"), F.col("component").alias("v")))  # a class stands for its links
     of = materialise(components(links), "near-components")
+
+    # who shares a longer band shares its first half too, so the plain bands hold all pairs
+    placed = member.where(F.col("band") < BANDS).join(size.where(F.col("n") > SMALL).select("band", "h"), ["band", "h"])
+    placed = placed.join(of, placed["rep"] == of["node"], "left").select("band", "h", "rep", "n_words", F.coalesce("component", "rep").alias("c"))
+    mixed = placed.groupBy("band", "h").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("band", "h")
+    mixed = materialise(placed.join(mixed, ["band", "h"]), "near-mixed")
+    if not mixed.isEmpty():
+        links = materialise(verify_all(mixed, texts, idf, similarity), "near-good").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        if not links.isEmpty():
+            of = materialise(components(links.unionByName(of.select(F.col("node").alias("u"), F.col("component").alias("v")))), "near-components")
     reps = kinds.select("d1", "d2", "rep")
     reps = reps.join(of, reps["rep"] == of["node"], "left").select("d1", "d2", "rep", F.coalesce("component", "rep").alias("class_id"))
     classed = known.select("doc_id", "d1", "d2").join(reps, ["d1", "d2"]).select("doc_id", "class_id", F.col("rep").alias("copy_of")).dropDuplicates(["doc_id"])

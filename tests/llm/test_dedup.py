@@ -125,6 +125,34 @@ def test_near_dedup_large_family_and_awkward_rows(spark):
     assert N.near_classes(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+@pytest.mark.parametrize("block_words", [1 << 20, 3000])
+def test_near_dedup_hub_with_a_late_id(spark, monkeypatch, block_words):
+    """Copies that are alike enough to their original but not to one another, the original last; and a lone pair among half-alike texts."""
+    monkeypatch.setattr(N, "BLOCK_WORDS", block_words)
+    rng = random.Random(9)
+    base = sentence(rng, 200, 5000).split()
+
+    def edited(words, n):
+        words = list(words)
+        for at in rng.sample(range(20), n):
+            words[at * 10] = f"x{rng.random()}"
+        return " ".join(words)
+
+    half = [edited(base, 7) for _ in range(150)]
+    texts = {d: edited(base, 3) for d in range(150)} | {1000 + d: t for d, t in enumerate(half)} | {5000: " ".join(base), 6000: half[149] + " end"}
+    got = {r.doc_id: r.class_id for r in N.near_classes(documents(spark, texts)).collect()}
+    assert {got[d] for d in (*range(150), 5000)} == {0}
+    assert got[1149] == got[6000] == 1149
+    assert all(got[d] == d for d in range(1000, 1149))
+
+
+def test_block_index_equals_pairwise_similarity():
+    rng = np.random.default_rng(1)
+    texts = [(np.sort(rng.choice(60, n, replace=False)).astype(np.uint64), rng.uniform(0.5, 5, n)) for n in (1, 20, 50, 60)]
+    for one in [*texts, (np.array([99], np.uint64), np.ones(1))]:
+        assert np.allclose(N.Block(texts).likeness(*one), [N.weighted_jaccard(one, t) for t in texts])
+
+
 def test_signatures_agree_as_often_as_texts_are_alike():
     rng = np.random.default_rng(0)
     keys = np.sort(rng.integers(1, 2**63, 3000).astype(np.uint64))
