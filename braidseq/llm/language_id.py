@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ._common import BASE, keep_only, small_batches, table, worker_memory
 
 PIECES = "piece_bpe_32k.model"
-TRAIN_DOCS, TRAIN_CHARS, MAX_LANGS, ROUNDS = 400, 3000, 100, 2
+TRAIN_DOCS, TRAIN_CHARS, ROUNDS = 400, 3000, 2
 SMOOTH, UNKNOWN, MAX_PIECE, MAX_RUN, REMEMBER = 0.05, 1e-8, 12, 24, 300_000
 RUN = re.compile(r"[^\W\d_]+")
 
@@ -97,16 +97,16 @@ def fit(counts: Counter, pieces: dict[str, int], rounds: int = ROUNDS) -> np.nda
 
 def train(docs: DataFrame, docs_per_lang: int = TRAIN_DOCS, chars: int = TRAIN_CHARS, path: str | None = None) -> tuple[list[str], dict[str, int], np.ndarray]:
     """(languages, pieces, probabilities) from docs_per_lang documents of each language, the first by a hash of
-    doc_id, and the first `chars` characters of each: a bound of the fit alone, at any corpus size. Of more
-    than MAX_LANGS values of lang the most frequent are learned."""
+    doc_id, and `chars` characters of each from a hashed place: a bound of the fit alone, at any corpus size.
+    Every value of lang is learned."""
     labelled = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id").alias("h"))
-    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
-    langs = sorted(sizes)
+    sizes = [(r[0], r[1]) for r in labelled.groupBy("lang").count().collect()]
+    langs = sorted(lang for lang, _ in sizes)
     # most documents of a large language are left out by their hash alone, before anything is ranked
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, min(1.0, 4 * docs_per_lang / n)).otherwise(share)
-    near = labelled.where((F.col("h") / 2.0**64 + 0.5) <= share).select("lang", "h", F.substring("text", 1, chars).alias("text"))
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, 4 * docs_per_lang / n)) for lang, n in sizes], "lang string, share double")
+    place = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - chars, F.lit(0)) + 1) + 1
+    near = labelled.join(F.broadcast(shares), "lang").where((F.col("h") / 2.0**64 + 0.5) <= F.col("share"))
+    near = near.select("lang", "h", F.substring("text", place.cast("int"), F.lit(chars)).alias("text"))
     first = Window.partitionBy("lang").orderBy("h")
     sample = near.withColumn("k", F.row_number().over(first)).where(F.col("k") <= docs_per_lang)
     counts: dict[str, Counter] = {lang: Counter() for lang in langs}

@@ -79,6 +79,14 @@ def test_a_full_memory_changes_no_score(monkeypatch):
             assert np.allclose(t, w)
 
 
+def test_every_language_is_learned_and_not_from_headers_alone(spark, monkeypatch):
+    monkeypatch.setattr(L, "fit", lambda counts, pieces, *_: np.full(len(pieces), float(counts["body"])))
+    texts = {d: "header " * 20 + "body " * 200 for d in range(120)}
+    langs, _, p = L.train(documents(spark, texts, lang={d: f"l{d:03}" for d in texts}), 5, 100)
+    assert langs == [f"l{d:03}" for d in range(120)]
+    assert (p[:, 0] > 0).mean() > 0.7
+
+
 def test_no_labels_and_empty_tables(spark):
     docs = documents(spark, ["hello there"], lang={0: None})
     model = L.train(docs)
