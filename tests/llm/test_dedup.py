@@ -23,21 +23,43 @@ def suffixes_by_hand(t, cap):
     return order, shared
 
 
-@pytest.mark.parametrize(("chunk", "small", "budget"), [(1 << 17, 1 << 21, 1 << 20), (7, 1 << 21, 0), (1 << 17, 2, 1 << 20), (5, 1, 0)])
+@pytest.mark.parametrize(("chunk", "small", "budget"), [(1 << 17, 1 << 12, 1 << 20), (7, 3, 0), (1 << 17, 2, 1 << 20), (40, 1, 0), (5, 1, 0)])
 def test_suffix_arrays(monkeypatch, chunk, small, budget):
     """In memory and from disk, with deep recursion and with tiny chunks."""
     monkeypatch.setattr(X, "CHUNK", chunk)
     rng = random.Random(chunk + small)
     for _ in range(60):
-        n, k = rng.randint(0, 60), rng.choice([1, 2, 3, 26])
+        n, k = rng.randint(0, 90), rng.choice([1, 2, 3, 26, 200])
         t = [rng.randrange(k) for _ in range(n)]
         if n and rng.random() < 0.3:
             t = (t[: max(1, n // 5)] * 6)[:n]
-        space = X.Space(budget)
-        order, shared = X.suffix_array(np.array(t, np.uint8), 256, 1000, space, small)
-        assert (list(order), list(shared)) == suffixes_by_hand(t, 1000)
-        assert (space.on_disk > 0) == (budget == 0 and n > 0)
-        space.close()
+        for carry in (True, False):
+            space = X.Space(budget)
+            order, shared = X.suffix_array(np.array(t, np.uint8), 256, 1000, space, small, carry)
+            assert (list(order), list(shared)) == suffixes_by_hand(t, 1000)
+            assert (space.on_disk > 0) == (budget == 0 and n > 0)
+            space.close()
+
+
+def test_suffix_sorter_reaches_disk_and_recursion_at_the_size_of_a_shard():
+    """The query's own settings, against a set of the strings; mapped pages are given back meanwhile."""
+    rng = np.random.default_rng(3)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9), np.uint8)) for _ in range(3000)]
+    text = b" ".join(words[i] for i in rng.integers(0, 3000, 120_000))
+    text += text[1000:31_000] + b"ab" * 3000
+    space = X.Space()
+    path = f"{space.folder.name}/text"
+    with open(path, "wb") as file:
+        file.write(text)
+    hits = X.repeated_starts(space.open(path, np.uint8), 256, D.LENGTH, space)
+    seen, want = {}, np.zeros(len(text), bool)
+    for i in range(len(text) - D.LENGTH + 1):
+        at = seen.setdefault(hash(text[i : i + D.LENGTH]), i)
+        want[i] |= at != i
+        want[at] |= at != i
+    assert np.array_equal(np.array(hits, bool), want) and want.sum() > 60_000
+    assert space.levels > 2 and space.on_disk > 2 * len(text)
+    space.close()
 
 
 def removal_by_hand(texts, length):
@@ -69,6 +91,31 @@ def test_suffix_dedup_by_hand(spark, monkeypatch, hot):
     assert sum(w[1] for w in want) > 1000
 
 
+def passages_by_hand(texts, n):
+    words = [WORD.findall(t or "") for t in texts]
+    seen = {}
+    for d, w in enumerate(words):
+        for i in range(len(w) - n + 1):
+            seen.setdefault(tuple(w[i : i + n]), set()).add(d)
+    return [any(len(seen[tuple(w[i : i + n])]) > 1 for i in range(len(w) - n + 1)) for w in words]
+
+
+@pytest.mark.parametrize("hot", [4096, 1, 0])
+def test_passages_of_other_documents(spark, monkeypatch, hot):
+    """A passage counts where another document has it, however its white space differs; one that repeats in its own document does not."""
+    monkeypatch.setattr(D, "HOT_KINDS", hot)
+    rng = random.Random(hot + 1)
+    shared = [sentence(rng, 14) for _ in range(4)]
+    inner = sentence(rng, 15)
+    texts = awkward(rng)[:7] + [inner + " and " + inner, shared[0].replace(" ", " \n "), sentence(rng, 300)]
+    texts += [sentence(rng, rng.randint(0, 20)) + " " + rng.choice(shared[1:]) + " " + sentence(rng, rng.randint(0, 20)) for _ in range(20)]
+    texts += [shared[0] + " tail", sentence(rng, 40), sentence(rng, 11)]
+    got = {r.doc_id: r.repeats for r in D.suffix_dedup(clash(documents(spark, texts)), 60, (12, 50, 60), 12, (4, 10, 12)).collect()}
+    want = passages_by_hand(texts, 12)
+    assert [got[i] for i in range(len(texts))] == want
+    assert 20 < sum(want) < len(texts)
+
+
 def test_suffix_dedup_of_repeated_rows_and_empty_tables(spark):
     docs = documents(spark, {1: "q" + "".join(map(str, range(100))), 2: None})
     twice = docs.unionByName(docs).unionByName(documents(spark, {None: "short"}))
