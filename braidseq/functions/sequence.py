@@ -21,6 +21,13 @@ def counted(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
 
 
+def pieces(seq: Column, starts: Column, size: int) -> Column:
+    """Array of struct(start, seq): the `size` bases from each start, cut before anything is exploded, so that no
+    row carries the whole sequence. Bases are ASCII: bytes are cut, which costs the same anywhere in a sequence."""
+    cut = lambda s, i: F.struct(i.alias("start"), F.substring(s, i + 1, F.lit(size)).cast("string").alias("seq"))
+    return once(seq.cast("binary"), lambda s: F.transform(starts, lambda i: cut(s, i)))
+
+
 def text_to_bases(text: Column) -> Column:
     """Any text as a sequence: its letters a-z, lower-cased, dealt over the four bases."""
     return F.translate(F.regexp_replace(F.lower(text), "[^a-z]", ""), LETTERS, LETTER_BASES)
@@ -37,7 +44,7 @@ def revcomp(seq: Column) -> Column:
 
 def kmers(seq: Column, k: int) -> Column:
     """The overlapping k-mers in order; none if the sequence is shorter than k."""
-    return once(seq, lambda s: F.transform(counted(F.length(s) - k + 1), lambda i: F.substring(s, i + 1, F.lit(k))))
+    return once(seq.cast("binary"), lambda s: F.transform(counted(F.length(s) - k + 1), lambda i: F.substring(s, i + 1, F.lit(k)).cast("string")))
 
 
 def canonical(kmer: Column) -> Column:

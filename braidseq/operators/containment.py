@@ -34,18 +34,27 @@ def band_index(windows: DataFrame, n_bands: int, slots: int) -> DataFrame:
     return windows.select("win_key", F.explode(bands(F.col("sketch"), F.lit(n_bands), slots)).alias("b")).select(F.col("b.i").alias("band"), F.col("b.h").alias("band_hash"), "win_key")
 
 
-def containment_join(reads: DataFrame, windows: DataFrame, slots: int, window_kmers: int, threshold: float) -> DataFrame:
-    """(read_key, win_key, equal, containment) of the pairs above the threshold (strictly).
+def containment_join(reads: DataFrame, windows: DataFrame, slots: int, window_kmers: int, threshold: float, lengths: list[int] | None = None) -> DataFrame:
+    """(read_key, win_key, equal, containment) of the pairs above the threshold (strictly), each once.
 
-    reads: read_key, sketch, q; windows: win_key, sketch. Equal sketches of either side meet once. A
+    reads: read_key, sketch, q and any other columns but win_key and w, which are passed on; windows: win_key,
+    sketch. lengths: the values of q where they are known (reads of one length), else they are found by a pass
+    over q alone. Reads are sketched and looked up in one pass; windows, which are few beside them, are put into the
+    bands that those lengths ask for (`slots` kinds at most), and Spark broadcasts them if they are small. A
     whole-sketch equality needs a single band, so the usual case is one hash join.
     """
-    asked = reads.withColumn("need", min_match(F.col("q"), window_kmers, slots, threshold)).where("need is not null and sketch is not null")
-    kinds = asked.select("sketch", "need").distinct()
-    probes = kinds.select(F.col("sketch").alias("a"), "need", F.explode(bands(F.col("sketch"), F.lit(slots) - F.col("need") + 1, slots)).alias("b"))
-    used = asked.select((F.lit(slots) - F.col("need") + 1).alias("n")).distinct()
-    targets = windows.select(F.col("sketch").alias("w")).distinct().join(F.broadcast(used)).select("w", F.explode(bands(F.col("w"), F.col("n"), slots)).alias("b"))
-    pairs = probes.join(targets, "b").select("a", "w", "need").distinct()
-    pairs = pairs.withColumn("equal", equal_slots(F.col("a"), F.col("w"))).where("equal >= need")
-    found = asked.select("read_key", "q", F.col("sketch").alias("a"), "need").join(pairs, ["a", "need"]).join(windows.select("win_key", F.col("sketch").alias("w")), "w")
-    return found.select("read_key", "win_key", "equal", containment(F.col("equal"), F.col("q"), window_kmers, slots).alias("containment")).where(F.col("containment") > threshold)
+    n_bands = F.lit(slots) - min_match(F.col("q"), window_kmers, slots, threshold) + 1
+    if lengths is None:
+        used = reads.select("q").distinct().select(n_bands.alias("n")).where("n is not null").distinct()
+    else:
+        used = reads.sparkSession.createDataFrame([(q,) for q in sorted(set(lengths))], "q long").select(n_bands.alias("n")).where("n is not null").distinct()
+    # one row for each number of bands, slots at most, so this product is bounded by slots times the windows
+    targets = windows.select("win_key", F.col("sketch").alias("w")).join(F.broadcast(used)).select("win_key", "w", F.explode(bands(F.col("w"), F.col("n"), slots)).alias("b"))
+    asked = reads.withColumn("n__", n_bands).where("n__ is not null and sketch is not null")
+    probes = asked.withColumn("b", F.explode(bands(F.col("sketch"), F.col("n__"), slots)))
+    pairs = probes.join(targets, "b").withColumn("equal", equal_slots(F.col("sketch"), F.col("w")))
+    # a pair that agrees in several bands counts in the first of them
+    agree = F.exists(F.sequence(F.lit(1), F.col("b.i")), lambda i: F.get(bands(F.col("sketch"), F.col("n__"), slots), i - 1) == F.get(bands(F.col("w"), F.col("n__"), slots), i - 1))
+    pairs = pairs.where(F.col("equal") >= F.lit(slots) - F.col("n__") + 1).where((F.col("b.i") == 0) | ~agree)
+    found = pairs.withColumn("containment", containment(F.col("equal"), F.col("q"), window_kmers, slots)).where(F.col("containment") > threshold)
+    return found.select(*(c for c in reads.columns if c not in ("sketch", "q")), "q", "win_key", "equal", "containment")

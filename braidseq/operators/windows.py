@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import counted
+from ..functions.sequence import counted, pieces
 from ..functions.sketches import khf_sketch
 
 
@@ -17,8 +17,8 @@ def path_base_map(positions: DataFrame) -> DataFrame:
 
 def path_windows(sequences: DataFrame, window: int) -> DataFrame:
     """(graph_id, path_id, start, seq) of the length - window + 1 windows of each path; shorter paths have none."""
-    starts = sequences.select("graph_id", "path_id", "seq", F.explode(counted(F.length("seq") - window + 1)).alias("start"))
-    return starts.select("graph_id", "path_id", "start", F.substring(F.col("seq"), F.col("start") + 1, F.lit(window)).alias("seq"))
+    cut = pieces(F.col("seq"), counted(F.length("seq") - window + 1), window)
+    return sequences.select("graph_id", "path_id", F.inline(cut))
 
 
 def window_nodes(windows: DataFrame, positions: DataFrame, window: int) -> DataFrame:

@@ -34,14 +34,17 @@ def index_graph(graph: G.Graph, params: Params, drop_last_run: bool = True) -> I
     return Index(params, graph, keyed.withColumn("window_size", F.lit(params.window)), contents.select("win_key", "graph_id", "inner_id", "n_bases"))
 
 
-def map_reads(reads: DataFrame, index: Index) -> DataFrame:
-    """(read_id, graph_id, win_key, node_id, offset, merge_span, window_size, n_kmers) of every hit. reads: read_id, seq."""
+def map_reads(reads: DataFrame, index: Index, lengths: list[int] | None = None) -> DataFrame:
+    """(read_id, graph_id, win_key, node_id, offset, merge_span, window_size, n_kmers) of every hit. reads: read_id, seq.
+
+    lengths: the lengths of the reads, where they are known.
+    """
     p = index.params
     asked = reads.select(F.col("read_id").alias("read_key"), khf_sketch(F.col("seq"), p.k, p.slots).alias("sketch"), (F.length("seq") - p.k + 1).alias("q"))
-    hits = containment_join(asked, index.windows.select("win_key", "sketch"), p.slots, p.window - p.k + 1, p.threshold)
+    known = None if lengths is None else [n - p.k + 1 for n in lengths]
+    hits = containment_join(asked, index.windows.select("win_key", "sketch"), p.slots, p.window - p.k + 1, p.threshold, known)
     hits = hits.join(index.windows.select("win_key", "graph_id", "node_id", "offset", "merge_span", "window_size"), "win_key")
-    lengths = reads.select(F.col("read_id").alias("read_key"), (F.length("seq") - p.k + 1).cast("double").alias("n_kmers"))
-    return hits.join(lengths, "read_key").select(F.col("read_key").alias("read_id"), "graph_id", "win_key", "node_id", "offset", "merge_span", "window_size", "n_kmers")
+    return hits.select(F.col("read_key").alias("read_id"), "graph_id", "win_key", "node_id", "offset", "merge_span", "window_size", F.col("q").cast("double").alias("n_kmers"))
 
 
 def align_reads(reads: DataFrame, index: Index, no_align: bool = False) -> dict[str, DataFrame]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.sequence import counted, once, revcomp, text_to_bases
+from ..functions.sequence import counted, once, pieces, revcomp, text_to_bases
 from ..operators import graph as G
 from ..sources.index_store import TABLES, Index, Params
 from ..sources.staging import staged
@@ -33,14 +33,13 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, start, seq): windows of TEXT_WINDOW bases every TEXT_STRIDE."""
     docs = table(spark, sf_dir, "documents").select("doc_id", text_to_bases(F.col("text")).alias("seq"))
-    at = docs.select("doc_id", "seq", F.explode(F.transform(counted(F.floor((F.length("seq") - TEXT_WINDOW) / TEXT_STRIDE) + 1), lambda i: i * TEXT_STRIDE)).alias("start"))
-    return at.select("doc_id", "start", F.substring(F.col("seq"), F.col("start") + 1, F.lit(TEXT_WINDOW)).alias("seq"))
+    starts = F.transform(counted(F.floor((F.length("seq") - TEXT_WINDOW) / TEXT_STRIDE) + 1), lambda i: i * TEXT_STRIDE)
+    return docs.select("doc_id", F.inline(pieces(F.col("seq"), starts, TEXT_WINDOW)))
 
 
 def item_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id, start, seq): every window of TEXT_WINDOW bases."""
-    at = items(spark, sf_dir).select("item_id", "seq", F.explode(counted(F.length("seq") - TEXT_WINDOW + 1)).alias("start"))
-    return at.select("item_id", "start", F.substring(F.col("seq"), F.col("start") + 1, F.lit(TEXT_WINDOW)).alias("seq"))
+    return items(spark, sf_dir).select("item_id", F.inline(pieces(F.col("seq"), counted(F.length("seq") - TEXT_WINDOW + 1), TEXT_WINDOW)))
 
 
 def _allele(seq: Column, a: Column) -> Column:
@@ -71,8 +70,9 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simulated_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(read_id, seq, qual) off every allele: exact, one end changed, reversed, or changed in the middle."""
     w = GRAPH.window
-    at = sequences(spark, sf_dir).select("graph_id", "path_id", "name", "seq", F.explode(F.transform(counted(F.floor((F.length("seq") - w) / READ_STRIDE) + 1), lambda i: i * READ_STRIDE)).alias("start"))
-    at = at.withColumn("m", (F.floor(F.col("start") / READ_STRIDE) + F.col("path_id")) % 6).withColumn("r", F.substring(F.col("seq"), F.col("start") + 1, F.lit(w)))
+    starts = F.transform(counted(F.floor((F.length("seq") - w) / READ_STRIDE) + 1), lambda i: i * READ_STRIDE)
+    at = sequences(spark, sf_dir).select("graph_id", "path_id", "name", F.inline(pieces(F.col("seq"), starts, w))).withColumnRenamed("seq", "r")
+    at = at.withColumn("m", (F.floor(F.col("start") / READ_STRIDE) + F.col("path_id")) % 6)
     swap = lambda p: F.concat(F.substring("r", 1, p - 1), F.translate(F.substring("r", p, 1), "ACGT", "CGTA"), F.substring("r", p + 1, w))
     seq = F.when(F.col("m") == 1, swap(1)).when(F.col("m") == 2, swap(w)).when(F.col("m") == 3, revcomp(F.col("r"))).when(F.col("m") == 4, swap(w // 2)).otherwise(F.col("r"))
     return at.select(F.format_string("r_%d_%d_x_x_x_x_x_x_%s$", "graph_id", "start", "name").alias("read_id"), seq.alias("seq"), F.concat(F.lit("5"), F.repeat(F.lit("I"), w - 1)).alias("qual"))

@@ -154,7 +154,8 @@ def kmers(spark, sf_dir):
 
 @query(f"SELECT kmer, count(*) AS n FROM (SELECT least(k, {rc('k')}) AS kmer FROM (SELECT seq[i + 1 : i + {ITEM_K}] AS k FROM (SELECT *, unnest(range(0, len(seq) - {ITEM_K} + 1)) AS i FROM doc_reads))) GROUP BY kmer")
 def canonical_kmers(spark, sf_dir):
-    return D.document_reads(spark, sf_dir).select(F.explode(Q.kmers(F.col("seq"), ITEM_K)).alias("k")).groupBy(Q.canonical(F.col("k")).alias("kmer")).agg(F.count("*").alias("n"))
+    seen = D.document_reads(spark, sf_dir).select(F.explode(Q.kmers(F.col("seq"), ITEM_K)).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    return seen.groupBy(Q.canonical(F.col("k")).alias("kmer")).agg(F.sum("n").alias("n"))
 
 
 KMER_ROWS = f"(SELECT item_id, ('0x' || substr(md5(least(k, {rc('k')})), 1, 8))::BIGINT AS h FROM (SELECT item_id, seq[i + 1 : i + {ITEM_K}] AS k FROM (SELECT *, unnest(range(0, len(seq) - {ITEM_K} + 1)) AS i FROM items)))"
@@ -370,7 +371,8 @@ def text_hits(spark, sf_dir) -> DataFrame:
     """Chunks of documents that contain a window of a benchmark item: (read_key (doc_id, start), item_id)."""
     reads = D.document_reads(spark, sf_dir).select(F.struct("doc_id", "start").alias("read_key"), S.khf_sketch(F.col("seq"), D.TEXT_K, D.TEXT_SLOTS).alias("sketch"), F.lit(D.TEXT_WINDOW - D.TEXT_K + 1).alias("q"))
     windows = D.item_windows(spark, sf_dir).select(F.col("item_id").alias("win_key"), S.khf_sketch(F.col("seq"), D.TEXT_K, D.TEXT_SLOTS).alias("sketch")).distinct()
-    return containment_join(reads, windows, D.TEXT_SLOTS, D.TEXT_WINDOW - D.TEXT_K + 1, D.TEXT_T)
+    n = D.TEXT_WINDOW - D.TEXT_K + 1
+    return containment_join(reads, windows, D.TEXT_SLOTS, n, D.TEXT_T, [n])
 
 
 @query(f"SELECT DISTINCT item_id, doc_id, start::BIGINT AS start FROM {TEXT_HITS}")

@@ -1,3 +1,7 @@
+import hashlib
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,21 +26,14 @@ def test_kmers_of_short_sequences_are_none(spark):
 
 
 def trim(qual, least):
-    """The rule by hand."""
-
-    def cut(scores):
-        total = most = best = 0
-        for i, q in enumerate(scores):
-            total += least - q
-            if total < 0:
-                break
-            if total > most:
-                most, best = total, i + 1
-        return best
-
-    scores = [ord(c) - 33 for c in qual]
-    start, end = cut(scores), len(qual) - cut(scores[::-1])
-    return (0, 0) if start >= end else (start, end)
+    """Prefix sums of what a base falls short by, up to the first below 0: an end goes up to the first largest positive one."""
+    lack = least - (np.frombuffer(qual.encode(), np.uint8).astype(int) - 33)
+    gone = []
+    for one_way in (lack, lack[::-1]):
+        sums = np.concatenate([[0], np.cumsum(one_way)])
+        below = np.flatnonzero(sums < 0)
+        gone.append(int(sums[: below[0] if len(below) else None].argmax()))
+    return (gone[0], len(qual) - gone[1]) if sum(gone) < len(qual) else (0, 0)
 
 
 @pytest.mark.parametrize("qual", ["", "I", "#", "##IIII#", "IIII", "#I#I#I#", "55555", "?#IIII#I##"])
@@ -60,6 +57,31 @@ def test_sketches_ignore_the_strand(spark):
         assert value(spark, jaccard(a, b), s=SEQ) == 1.0
 
 
+def test_sketch_kernel_is_the_column_function(spark):
+    """Per slot the least affine hash of the md5 of each k-mer or its reverse complement, in slices and in the JVM alike."""
+    rng = random.Random(5)
+    seqs = ["".join(rng.choice("ACGTN") for _ in range(rng.randint(0, 90))) for _ in range(40)] + [None]
+    for k in (1, 8, 15, 31, 60):
+        def by_hand(s):
+            found = [s[i : i + k] for i in range(len(s or "") - k + 1)]
+            both = [min(x, x[::-1].translate(str.maketrans("ACGT", "TGCA"))) for x in found]
+            hashes = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in both]
+            return [min((h * a + b) % S.PRIME for h in hashes) for a, b in S.slot_factors(6)] if hashes else None
+
+        df = spark.createDataFrame([(i, s) for i, s in enumerate(seqs)], "i int, s string")
+        got = {r.i: r.v for r in df.select("i", S.khf_sketch(F.col("s"), k, 6).alias("v")).collect()}
+        assert got == {i: by_hand(s) for i, s in enumerate(seqs)}
+
+
+def test_kinds_of_sketch(spark):
+    assert value(spark, S.sketch("kmv", F.col("s"), 3, 4), s=SEQ) == value(spark, S.kmv_sketch(F.col("s"), 3, 4), s=SEQ)
+    fast = value(spark, S.sketch("khf", F.col("s"), 7, 5, fast=True), s=SEQ)
+    assert fast == value(spark, S.khf_sketch(Q.revcomp(F.col("s")), 7, 5, True), s=SEQ) and len(fast) == 5
+    for kind, k in (("other", 3), ("khf", 0)):
+        with pytest.raises(ValueError):
+            S.sketch(kind, F.col("s"), k, 4)
+
+
 def test_sketch_edges(spark):
     assert value(spark, S.khf_sketch(F.col("s"), 7, 10), s="ACG") is None
     kmv = value(spark, S.kmv_sketch(F.col("s"), 7, 10), s="ACGTACGT")
