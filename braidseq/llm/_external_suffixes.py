@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-CHUNK = 1 << 17
+CHUNK = 1 << 16
 SMALL = 1 << 12
 MAX_ROUNDS, IN_A_ROW = 48, 12
 
@@ -60,7 +60,7 @@ class Space:
     def visit(self, n: int) -> None:
         """Called with the number of entries worked on; now and then mapped pages are given back."""
         self.touched += n
-        if self.touched >= 2 * CHUNK:
+        if self.touched >= 4 * CHUNK:
             self.touched = 0
             for mapped in self.maps.values():
                 mapped._mmap.madvise(mmap.MADV_DONTNEED)

@@ -28,7 +28,7 @@ ANCHORS = (64, 368, 400)  # bytes; the last is the window itself
 PASSAGE = 51
 WORD_ANCHORS = (16, 44, 51)  # words
 HOT_KINDS = 1024
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 2_500_000
 BORDER = 0xFF  # no byte of UTF-8
 REGION = "u1 long, u2 long, owner long, key long, r long, lo long, size long, at long, bytes long, anchors long"
 
