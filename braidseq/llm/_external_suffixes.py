@@ -20,18 +20,18 @@ from collections.abc import Iterator
 
 import numpy as np
 
-CHUNK = 1 << 16
-SMALL = 1 << 12
+CHUNK = 1 << 17
+SMALL = 1 << 16
 MAX_ROUNDS, IN_A_ROW = 48, 12
 
 
 class Space:
     """Arrays in memory up to a budget for each, in files of a temporary folder beyond it."""
 
-    def __init__(self, budget: int = 1 << 20, folder: str | None = None):
+    def __init__(self, budget: int = 1 << 22, folder: str | None = None):
         self.budget, self.folder, self.files = budget, tempfile.TemporaryDirectory(prefix="suffixes-", dir=folder), 0
         self.on_disk = self.levels = self.touched = 0
-        self.maps: dict[int, np.memmap] = {}
+        self.maps: dict[int, np.memmap] = {}  # by the plain array that is handed out
 
     def array(self, n: int, kind) -> np.ndarray:
         size = n * np.dtype(kind).itemsize
@@ -47,15 +47,17 @@ class Space:
             return np.fromfile(path, kind)
         return self._keep(np.memmap(path, kind, "r"))
 
-    def _keep(self, mapped: np.memmap) -> np.memmap:
-        self.maps[id(mapped)] = mapped
-        return mapped
+    def _keep(self, mapped: np.memmap) -> np.ndarray:
+        plain = mapped.view(np.ndarray)  # without the cost that a memmap adds to each access
+        self.maps[id(plain)] = mapped
+        return plain
 
     def free(self, *arrays: np.ndarray) -> None:
         """Delete the files of arrays that are done with."""
         for array in arrays:
-            if self.maps.pop(id(array), None) is not None:
-                os.unlink(array.filename)
+            mapped = self.maps.pop(id(array), None)
+            if mapped is not None:
+                os.unlink(mapped.filename)
 
     def visit(self, n: int) -> None:
         """Called with the number of entries worked on; now and then mapped pages are given back."""
@@ -222,7 +224,34 @@ class _Queue:
             self.last[heads] = bucket
             self.touched = np.union1d(self.touched, heads)
 
+    def chain(self, bucket: int, sources: np.ndarray) -> None:
+        """Hand out the last arrivals of a bucket with all that they put into the same bucket in turn, as repeats of one
+        symbol do; no prefixes are kept."""
+        links, size = [], 0
+        while True:
+            left = sources - 1
+            left = left[left >= 0]
+            left = left[self.types[left] == self.kind]
+            to = self.bucket(left)
+            away = to != bucket
+            links.append(left[away])
+            size += len(sources)
+            sources = left[~away]
+            if not len(sources):
+                break
+            tail = int(self.tail[bucket])
+            self.at[tail : tail + len(sources)] = sources
+            self.tail[bucket] += len(sources)
+            if size > CHUNK:
+                self.append(np.concatenate(links))
+                self.space.visit(size)
+                links, size = [], 0
+        self.append(np.concatenate(links)) if links else None
+        self.space.visit(size)
+
     def append(self, positions: np.ndarray) -> None:
+        if not len(positions):
+            return
         to = self.bucket(positions)
         order = np.argsort(to, kind="stable")
         to = to[order]
@@ -325,6 +354,9 @@ def induce(text: np.ndarray, types: np.ndarray, counts: tuple[np.ndarray, np.nda
         while head < queue.tail[b]:
             to = min(int(queue.tail[b]), head + CHUNK)
             at = np.array(queue.at[head:to])
+            if not keep and to == queue.tail[b]:
+                queue.chain(b, at.astype(np.int64))
+                break
             lcp = np.array(queue.lcp[head:to]) if keep else None
             if keep and last < 0:
                 lcp[0] = 0

@@ -21,8 +21,9 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-MAX_RULES = 200
-#: Hosts whose pages the query puts on its list.
+#: Up to so many rules are one expression; more are a table that pages are joined with.
+INLINE_RULES = 200
+#: Words in the names of the hosts whose pages the query's list is drawn from.
 LISTED_HOSTS = ("spam-farm", "cheap-pills", "adult-x", "ads-track", "casino-win", "free-bets")
 
 
@@ -45,27 +46,50 @@ def canonical(url: Column) -> Column:
 
 def rule_verdict(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """(rule, action) of the longest rule that fits, or nulls. Equally long ones: the smaller text."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
     rule, action = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for what, rule_host, rule_path in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]), reverse=True):
+    for what, rule_host, rule_path in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2], r[0]), reverse=True):
         fits = ((host == rule_host) | host.endswith(f".{rule_host}")) & path.startswith(rule_path)
         rule, action = F.when(fits, rule_host + rule_path).otherwise(rule), F.when(fits, what).otherwise(action)
     return rule, action
 
 
+def judged(rows: DataFrame, rules) -> DataFrame:
+    """rows (host, path) with rule and action, for rules of any number, a list or a table (action, host, path).
+
+    Many rules are joined on every suffix of a host that is whole labels and every start of a path that is as
+    long as some rule's path. Each different host and path is looked up once.
+    """
+    if not isinstance(rules, DataFrame):
+        if len(rules) <= INLINE_RULES:
+            rule, action = rule_verdict(F.col("host"), F.col("path"), rules)
+            return rows.withColumn("rule", rule).withColumn("action", action)
+        rules = rows.sparkSession.createDataFrame(list(rules), "action string, host string, path string")
+    rules = materialise(rules.groupBy(F.col("host").alias("on_host"), F.col("path").alias("on_path")).agg(F.min("action").alias("action")), "url-rules")
+    sizes = rules.agg(F.collect_set(F.length("on_path")).alias("sizes"))  # as many as there are lengths of a path
+    kinds = rows.select("host", "path").distinct().join(F.broadcast(sizes))
+    labels = F.split("host", r"\.")
+    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    starts = F.transform(F.filter("sizes", lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
+    asked = kinds.select("host", "path", F.explode(hosts).alias("on_host"), starts.alias("starts")).select("host", "path", "on_host", F.explode("starts").alias("on_path"))
+    text = F.concat("on_host", "on_path")
+    fits = asked.join(rules, ["on_host", "on_path"]).groupBy("host", "path").agg(F.min(F.struct((-F.length(text)).alias("size"), text.alias("rule"), "action")).alias("best"))
+    fits = fits.select(F.col("host").alias("host__"), F.col("path").alias("path__"), "best.rule", "best.action")
+    return rows.join(fits, (F.col("host") == F.col("host__")) & (F.col("path") == F.col("path__")), "left").drop("host__", "path__")
+
+
 def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     """page_id, url, host, path, rule, listed and verdict of every row of pages.
 
-    Needs page_id and url of pages, and the column `canonical` of listed (repeats and nulls do no harm). A
-    null url or one without `://` has an empty host and path, fits no rule, is not listed and is allowed.
-    Equal rows are judged each. Empty tables give an empty result or an empty list.
+    Needs page_id and url of pages, and the column `canonical` of listed (repeats and nulls do no harm); other
+    columns, whatever their names, are not read. rules: a list or table of (action, host, path). A null url or
+    one without `://` has an empty host and path, fits no rule, is not listed and is allowed. Equal rows are
+    judged each, urls of any length whole. Of rules that are equally long the smaller text wins, and of
+    equal ones allow. Empty tables give an empty result or an empty list.
     """
     keys = materialise(listed.select("canonical").where("canonical is not null").distinct(), "url-list")
     bloom = BlockedBloom.of(keys.select(*hash128(F.col("canonical"))), "h1", "h2")
     rows = pages.select("page_id", "url").withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))).withColumn("canonical", canonical(F.col("url")))
-    rule, action = rule_verdict(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", rule).withColumn("action", action).select("*", *hash128(F.col("canonical")))
+    rows = judged(rows, rules).select("*", *hash128(F.col("canonical")))
     rows = rows.withColumn("maybe", F.col("canonical").isNotNull() & bloom.maybe(F.col("h1"), F.col("h2"))).drop("h1", "h2")
     sure = rows.where("not maybe").withColumn("listed", F.lit(False))
     hits = rows.where("maybe").join(keys.withColumn("on__", F.lit(True)), "canonical", "left")
@@ -74,11 +98,17 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     return both.select("page_id", "url", "host", "path", "rule", "listed", verdict.alias("verdict"))
 
 
+def example_list(pages: DataFrame) -> DataFrame:
+    """The list that the query takes, as the tables hold none: of the canonical URLs on hosts with one of the words of
+    LISTED_HOSTS in their name those whose md5 begins with 4 to f (a list that does not know them all), and
+    beside each of these an older address of the page, which no page has any more."""
+    own = pages.where(host_of(F.col("url")).rlike("|".join(LISTED_HOSTS))).select(canonical(F.col("url")).alias("canonical")).where("substring(md5(canonical), 1, 1) >= '4'")
+    return own.unionByName(own.select(F.concat("canonical", F.lit("/index.php")).alias("canonical")))
+
+
 def op5_url_filters(spark, sf_dir: str) -> DataFrame:
-    """The list: canonical URLs of the pages on hosts with one of the words of LISTED_HOSTS in their name."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    listed = pages.where(host_of(F.col("url")).rlike("|".join(LISTED_HOSTS))).select(canonical(F.col("url")).alias("canonical"))
-    return filter_urls(pages, listed).select("page_id", "host", "path", "rule", "listed", "verdict")
+    return filter_urls(pages, example_list(pages)).select("page_id", "host", "path", "rule", "listed", "verdict")
 
 
 def _case(pick: int) -> str:
@@ -96,7 +126,8 @@ WITH p AS (
          regexp_replace(regexp_replace(regexp_extract(url, '^[^?#]*(\?[^#]*)', 1), '([?&])utm_[^&]*(&|$)', '\1', 'g'), '([?&])utm_[^&]*(&|$)', '\1', 'g') AS query FROM p
 ), r AS (
   SELECT *, CASE WHEN contains(url, '://') THEN regexp_replace(host, ':(80|443)$', '') || regexp_replace(path, '/+$', '') || regexp_replace(query, '[?&]+$', '') END AS canonical FROM q
-), listed AS (SELECT DISTINCT canonical FROM r WHERE regexp_matches(host, '{"|".join(LISTED_HOSTS)}')
+), known AS (SELECT DISTINCT canonical FROM r WHERE regexp_matches(host, '{"|".join(LISTED_HOSTS)}') AND substr(md5(canonical), 1, 1) >= '4'
+), listed AS (SELECT canonical FROM known UNION SELECT canonical || '/index.php' FROM known
 ), v AS (
   SELECT page_id, host, path, {_case(1)} AS rule, {_case(0)} AS action, canonical IS NOT NULL AND canonical IN (SELECT canonical FROM listed WHERE canonical IS NOT NULL) AS listed FROM r
 )

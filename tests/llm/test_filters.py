@@ -126,8 +126,32 @@ def test_urls_by_hand(spark):
     empty = U.filter_urls(rows, listed.where("canonical = ''"))
     assert empty.where("listed").count() == 0
     assert U.filter_urls(rows.where("page_id < 0"), listed).count() == 0
-    with pytest.raises(ValueError):
-        U.rule_verdict(F.col("a"), F.col("b"), U.RULES * 100)
+
+
+def test_many_rules_are_joined_and_give_the_same(spark, monkeypatch):
+    """Rules as an expression, as a list beyond INLINE_RULES and as a table; very long urls and ties too."""
+    rng = random.Random(21)
+    hosts = ["a.com", "b.a.com", "c.b.a.com", "x.org", "org", "com", "ba.com", ""]
+    paths = ["", "/", "/a", "/ab", "/abc/d", "/b/" + "z" * 3000]
+    rules = sorted({(rng.choice(hosts[:6]), rng.choice(paths)): rng.choice(["allow", "block"]) for _ in range(30)}.items())
+    rules = [(action, h, p) for (h, p), action in rules]
+    rows = spark.createDataFrame([(i, f"http://{h}{p}?q") for i, (h, p) in enumerate((h, p + t) for h in hosts for p in paths for t in ("", "q"))], "page_id long, url string")
+    listed = spark.createDataFrame([("x.org/a",)], "canonical string")
+    got = []
+    for as_table in (False, False, True):
+        given = spark.createDataFrame(rules, "action string, host string, path string") if as_table else rules
+        got.append(sorted((r.page_id, r.rule, r.verdict) for r in U.filter_urls(rows, listed, given).collect()))
+        monkeypatch.setattr(U, "INLINE_RULES", 3)
+    assert got[0] == got[1] == got[2] and len({r for _, r, _ in got[0]}) > 8
+
+
+def test_the_list_is_no_match_of_hosts(spark):
+    pages = spark.createDataFrame([(i, f"http://www.casino-win{i % 7}.net/p/{i}?utm_source=x") for i in range(200)] + [(500, "http://good.org/casino-win")], "page_id long, url string")
+    listed = U.example_list(pages)
+    rows = U.filter_urls(pages, listed).collect()
+    on = {r.page_id for r in rows if r.listed}
+    assert on == {i for i in range(200) if hashlib.md5(f"www.casino-win{i % 7}.net/p/{i}".encode()).hexdigest()[0] >= "4"}
+    assert 100 < len(on) < 190 and listed.count() == 2 * len(on)
 
 
 def test_bloom_false_hits_are_removed(spark):
