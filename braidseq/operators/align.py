@@ -150,6 +150,14 @@ def read_stats(reads: DataFrame) -> DataFrame:
     return reads.agg(F.count("*").alias("n_reads"), F.avg(F.length("seq")).alias("mean_length"))
 
 
+def checked_read_stats(reads: DataFrame) -> tuple[int, float]:
+    """The number of reads and their mean length; an error for none."""
+    n, mean = read_stats(reads).first()
+    if not n:
+        raise ValueError("no reads were received")
+    return n, mean
+
+
 def map_stats(reads: DataFrame, mapped: DataFrame) -> DataFrame:
     """Reads received, mapped to a graph or to several, and mappings."""
     per = mapped.groupBy("read_id").agg(F.countDistinct("graph_id").alias("g"), F.count("*").alias("n"))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import base_check
+from ..functions.sequence import base_check, counted, pieces
 
 
 @dataclass(frozen=True)
@@ -31,8 +31,8 @@ def msa_to_graph(msa: DataFrame, drop_consensus: bool = True) -> Graph:
     """
     if drop_consensus:
         msa = msa.where(F.col("name") != "consensus")
-    cells = msa.select("graph_id", "row_id", "seq", F.explode(F.sequence(F.lit(1), F.length("seq"))).alias("col"))
-    cells = cells.select("graph_id", "row_id", "col", F.substring(F.col("seq"), F.col("col"), F.lit(1)).alias("base")).where("base <> '-'")
+    cells = msa.select("graph_id", "row_id", F.inline(pieces(F.col("seq"), counted(F.length("seq")), 1)))
+    cells = cells.select("graph_id", "row_id", (F.col("start") + 1).alias("col"), F.col("seq").alias("base")).where("base <> '-'")
     vertex, walk = ["graph_id", "col", "base"], Window.partitionBy("graph_id", "row_id").orderBy("col")
     ahead = cells.withColumn("to", F.lead(F.struct("col", "base")).over(walk)).withColumn("back", F.lag(F.struct("col", "base")).over(walk))
     facts = ahead.groupBy(*vertex).agg(F.array_sort(F.collect_set("row_id")).alias("rows"), F.size(F.collect_set("to")).alias("n_out"), F.size(F.collect_set("back")).alias("n_in"))

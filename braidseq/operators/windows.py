@@ -84,6 +84,13 @@ def check_keys(windows: DataFrame) -> None:
         raise ValueError("the index is empty" if not n else "window keys repeat")
 
 
+def check_index_span(windows: DataFrame, most: int) -> None:
+    """An error where a window of the index stands for a run of more than `most` others."""
+    longest = windows.agg(F.max("merge_span")).first()[0] or 0
+    if longest > most:
+        raise ValueError(f"a run of {longest} windows has one sketch; {most} are allowed")
+
+
 def sketch_stats(sketched: DataFrame) -> DataFrame:
     """Per graph: windows, distinct sketches, and the longest run of one sketch less one."""
     runs = merge_runs(sketched, False).groupBy("graph_id").agg(F.max("merge_span").alias("max_span"))

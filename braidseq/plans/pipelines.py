@@ -52,8 +52,12 @@ def align_reads(reads: DataFrame, index: Index, no_align: bool = False) -> dict[
 
     reads: read_id, seq, qual (null for reads without quality).
     """
+    return align_mapped(reads, map_reads(reads, index), index, no_align)
+
+
+def align_mapped(reads: DataFrame, mappings: DataFrame, index: Index, no_align: bool = False) -> dict[str, DataFrame]:
+    """align_reads() from mappings at hand."""
     p, graph = index.params, index.graph
-    mappings = map_reads(reads, index)
     records, aligned = None, None
     if not no_align:
         positions = G.path_positions(graph.path_nodes, graph.nodes)

@@ -30,7 +30,7 @@ def equal(a: str, b: str) -> str:
 PARTS = {
     "items": f"SELECT item_id, {BASES} AS seq FROM benchmark",
     "doc_seq": f"SELECT doc_id, {BASES} AS seq FROM documents",
-    "doc_reads": f"SELECT doc_id, start, seq[start + 1 : start + {D.TEXT_WINDOW}] AS seq FROM (SELECT doc_id, seq, unnest(range(0, len(seq) - {D.TEXT_WINDOW} + 1, {D.TEXT_STRIDE})) AS start FROM doc_seq)",
+    "doc_reads": f"SELECT doc_id, start, seq[start + 1 : start + {D.TEXT_WINDOW}] AS seq FROM (SELECT doc_id, seq, unnest(list_distinct(list_concat(range(0, len(seq) - {D.TEXT_WINDOW} + 1, {D.TEXT_STRIDE}), [len(seq) - {D.TEXT_WINDOW}]))) AS start FROM doc_seq WHERE len(seq) >= {D.TEXT_WINDOW})",
     "item_windows": f"SELECT item_id, start, seq[start + 1 : start + {D.TEXT_WINDOW}] AS seq FROM (SELECT item_id, seq, unnest(range(0, len(seq) - {D.TEXT_WINDOW} + 1)) AS start FROM items)",
     "msa": """SELECT item_id::INTEGER AS graph_id, a::INTEGER AS row_id, CASE WHEN a = 4 THEN 'consensus' ELSE 'item' || item_id || '-a' || a END AS name,
         CASE WHEN a = 4 THEN seq ELSE array_to_string(list_transform(range(1, len(seq) + 1), lambda p: CASE WHEN a > 0 AND p * a % 37 = 5 THEN '-'

@@ -6,19 +6,22 @@ fixed stride, line items become alignments and equivalence classes.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequence import counted, once, pieces, revcomp, text_to_bases
 from ..operators import graph as G
 from ..sources.index_store import TABLES, Index, Params
-from ..sources.staging import staged
+from ..sources.staging import shared_folder, staged
 
 #: Reads of documents against windows of benchmark items.
 TEXT_K, TEXT_SLOTS, TEXT_WINDOW, TEXT_STRIDE, TEXT_T = 15, 21, 50, 25, 0.99
 #: Simulated reads against graphs.
 GRAPH = Params(k=11, slots=8, window=40, threshold=0.9, min_coverage=1.0)
 READ_STRIDE = 17
+QUALITIES = "#(-26;=>@ABCDFGI"
 LOW = 0.15
 
 
@@ -30,10 +33,16 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", text_to_bases(F.col("text")).alias("seq"))
 
 
+def document_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text_to_bases(F.col("text")).alias("seq"))
+
+
 def document_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, start, seq): windows of TEXT_WINDOW bases every TEXT_STRIDE."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", text_to_bases(F.col("text")).alias("seq"))
+    """(doc_id, start, seq): windows of TEXT_WINDOW bases every TEXT_STRIDE, and the last one of each text."""
+    docs = document_sequences(spark, sf_dir)
     starts = F.transform(counted(F.floor((F.length("seq") - TEXT_WINDOW) / TEXT_STRIDE) + 1), lambda i: i * TEXT_STRIDE)
+    end = F.when(F.length("seq") >= TEXT_WINDOW, F.array(F.length("seq") - TEXT_WINDOW)).otherwise(F.array().cast("array<int>"))
+    starts = F.array_union(starts, end)
     return docs.select("doc_id", F.inline(pieces(F.col("seq"), starts, TEXT_WINDOW)))
 
 
@@ -78,6 +87,20 @@ def simulated_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select(F.format_string("r_%d_%d_x_x_x_x_x_x_%s$", "graph_id", "start", "name").alias("read_id"), seq.alias("seq"), F.concat(F.lit("5"), F.repeat(F.lit("I"), w - 1)).alias("qual"))
 
 
+def text_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a text file of all documents of each language, in order of doc_id."""
+    folder = f"{shared_folder(spark)}/text-files-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select("lang", "doc_id", "text")
+    docs.repartition("lang").sortWithinPartitions("lang", "doc_id").select("lang", F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("lang").text(folder)
+    return folder
+
+
+def qualities(read_id: Column, size: Column) -> Column:
+    """A quality string off the md5 of a read's name."""
+    digits = F.concat(F.md5(read_id), F.md5(F.concat(read_id, F.lit("x"))))
+    return F.substring(F.translate(digits, "0123456789abcdef", QUALITIES), F.lit(1), size)
+
+
 _built: dict[tuple[str, str], Index] = {}
 
 

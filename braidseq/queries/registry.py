@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,9 +58,24 @@ def lines_of(spark, sf_dir):
     return D.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("file"), F.col("turn").alias("line_no"), F.col("text").alias("line"))
 
 
-@query("SELECT conv_id::VARCHAR AS file, turn AS line_no, len(text)::BIGINT AS n FROM conversations")
+@query("""SELECT lang AS file, row_number() OVER (PARTITION BY lang ORDER BY doc_id, i) - 1 AS line_no, len(line)::BIGINT AS n, md5(line) AS hash FROM (
+  SELECT lang, doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM (SELECT lang, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))""")
 def scan_lines(spark, sf_dir):
-    return lines_of(spark, sf_dir).select("file", "line_no", long(F.length("line"), "n"))
+    """Files of all texts of a language, written and read again in splits."""
+    lines = IO.scan_lines(spark, D.text_files(spark, sf_dir))
+    return lines.select(F.regexp_extract("file", "lang=([^/]*)", 1).alias("file"), long("line_no", "line_no"), long(F.length("line"), "n"), F.md5("line").alias("hash"))
+
+
+@query("SELECT conv_id::VARCHAR AS file, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS line_no, text AS line FROM (SELECT conv_id, turn, trim(regexp_replace(text, '[\n]', ' ', 'g')) AS text FROM conversations) WHERE text <> ''")
+def chunk_lines(spark, sf_dir):
+    """The turns of a conversation as lines of a file that comes in pieces cut in the middle of each line."""
+    turns = lines_of(spark, sf_dir).withColumn("line", F.concat(F.regexp_replace("line", "[\n]", " "), F.lit("\n")))
+    half = F.floor(F.length("line") / 2).cast("int")
+    cut = F.array(F.substring(F.col("line"), F.lit(1), half), F.substring(F.col("line"), half + 1, F.length("line")))
+    pieces = turns.select("file", F.col("line_no").alias("turn"), F.posexplode(cut).alias("i", "chunk"))
+    found = IO.chunk_lines(pieces.select("file", (F.col("turn") * 2 + F.col("i")).cast("long").alias("nth"), "chunk"))
+    nth = F.row_number().over(R.Window.partitionBy("file").orderBy("line_no")) - 1
+    return found.select("file", long(nth, "line_no"), "line")
 
 
 def fastq_lines(spark, sf_dir):
@@ -113,14 +130,16 @@ def write_gfa(spark, sf_dir):
     return IO.gfa_lines(g, D.made_weights(g))
 
 
-@query("SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(*) FROM path_nodes) AS n_steps, (SELECT sum(floor(kmer_freq))::DOUBLE FROM made) AS weight")
+@query("""SELECT * FROM (WITH heavy AS (SELECT graph_id, (dense_rank() OVER (ORDER BY graph_id) - 1) AS g FROM (SELECT graph_id FROM made GROUP BY graph_id HAVING max(kmer_freq) > 0))
+SELECT 'node' AS kind, g, n.node_id AS a, floor(m.kmer_freq)::BIGINT AS b, n.seq AS text FROM nodes n JOIN made m USING (graph_id, node_id) JOIN heavy USING (graph_id)
+UNION ALL SELECT 'edge', g, src, dst, '' FROM edges JOIN heavy USING (graph_id)
+UNION ALL SELECT 'step', g, ord, node_id, name FROM path_nodes JOIN paths USING (graph_id, path_id) JOIN heavy USING (graph_id))""")
 def parse_gfa(spark, sf_dir):
+    """Every segment, link and step of a path that was written and read."""
     g, weights = IO.parse_gfa(gfa_file(spark, sf_dir))
-    counts = [df.agg(F.count("*").alias(n)) for df, n in ((g.nodes, "n_nodes"), (g.edges, "n_edges"), (g.path_nodes, "n_steps"))]
-    out = weights.agg(F.sum("kmer_freq").alias("weight"))
-    for c in counts:
-        out = out.join(F.broadcast(c))
-    return out
+    row = lambda df, kind, a, b, text: df.select(F.lit(kind).alias("kind"), long("graph_id", "g"), long(a, "a"), long(b, "b"), text.alias("text"))
+    out = row(g.nodes.join(weights, ["graph_id", "node_id"]), "node", "node_id", "kmer_freq", F.col("seq"))
+    return out.unionByName(row(g.edges, "edge", "src", "dst", F.lit(""))).unionByName(row(g.path_nodes.join(g.paths, ["graph_id", "path_id"]), "step", "ord", "node_id", F.col("name")))
 
 
 @query("SELECT lpad(graph_id::VARCHAR, 8, '0') AS file, 12345::BIGINT AS total FROM (SELECT graph_id FROM made GROUP BY graph_id HAVING max(kmer_freq) > 0)")
@@ -152,9 +171,9 @@ def kmers(spark, sf_dir):
     return D.items(spark, sf_dir).select("item_id", F.posexplode(Q.kmers(F.col("seq"), ITEM_K)).alias("i", "kmer")).select("item_id", long("i", "i"), "kmer")
 
 
-@query(f"SELECT kmer, count(*) AS n FROM (SELECT least(k, {rc('k')}) AS kmer FROM (SELECT seq[i + 1 : i + {ITEM_K}] AS k FROM (SELECT *, unnest(range(0, len(seq) - {ITEM_K} + 1)) AS i FROM doc_reads))) GROUP BY kmer")
+@query(f"SELECT kmer, count(*) AS n FROM (SELECT least(k, {rc('k')}) AS kmer FROM (SELECT seq[i + 1 : i + {ITEM_K}] AS k FROM (SELECT *, unnest(range(0, len(seq) - {ITEM_K} + 1)) AS i FROM doc_seq))) GROUP BY kmer")
 def canonical_kmers(spark, sf_dir):
-    seen = D.document_reads(spark, sf_dir).select(F.explode(Q.kmers(F.col("seq"), ITEM_K)).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    seen = D.document_sequences(spark, sf_dir).select(F.explode(Q.kmers(F.col("seq"), ITEM_K)).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
     return seen.groupBy(Q.canonical(F.col("k")).alias("kmer")).agg(F.sum("n").alias("n"))
 
 
@@ -211,11 +230,18 @@ def bloom_membership(spark, sf_dir):
     return S.bloom_membership(D.items(spark, sf_dir).select(S.kmer_hash(F.col("seq")).alias("h")), asked).select("doc_id", "h", "maybe")
 
 
-@query("""SELECT read_id, CASE WHEN s >= e THEN 0 ELSE s END AS s, CASE WHEN s >= e THEN 0 ELSE e END AS e FROM (
-  SELECT read_id, CASE WHEN q[1] < '?' THEN 1 ELSE 0 END::BIGINT AS s, (len(q) - CASE WHEN q[-1] < '?' THEN 1 ELSE 0 END)::BIGINT AS e FROM (SELECT read_id, CASE WHEN len(read_id) % 2 = 0 THEN qual ELSE reverse(qual) END AS q FROM reads))""")
+def _cut_sql(order: str) -> str:
+    """How many bases go from one end: up to the first greatest running sum above 0 before the first below 0."""
+    run = f"SELECT read_id, n, row_number() OVER w AS k, sum(30 - q) OVER w AS s FROM base_q WINDOW w AS (PARTITION BY read_id ORDER BY {order})"
+    open_ = f"SELECT *, coalesce(min(CASE WHEN s < 0 THEN k END) OVER (PARTITION BY read_id), n + 1) AS bad FROM ({run})"
+    return f"SELECT read_id, any_value(n) AS n, coalesce(arg_max(k, s * 1000 - k) FILTER (s > 0 AND k < bad), 0) AS cut FROM ({open_}) GROUP BY read_id"
+
+
+@query(f"""SELECT * FROM (WITH base_q AS (SELECT read_id, n, i, ord(quals[i]) - 33 AS q FROM (SELECT read_id, len(seq) AS n, substr(translate(md5(read_id) || md5(read_id || 'x'), '0123456789abcdef', '{D.QUALITIES}'), 1, len(seq)) AS quals, unnest(range(1, len(seq) + 1)) AS i FROM reads))
+SELECT a.read_id, CASE WHEN a.cut >= a.n - b.cut THEN 0 ELSE a.cut END::BIGINT AS s, CASE WHEN a.cut >= a.n - b.cut THEN 0 ELSE a.n - b.cut END::BIGINT AS e FROM ({_cut_sql('i')}) a JOIN ({_cut_sql('i DESC')}) b USING (read_id))""")
 def qual_trim(spark, sf_dir):
-    rows = D.simulated_reads(spark, sf_dir).withColumn("q", F.when(F.length("read_id") % 2 == 0, F.col("qual")).otherwise(F.reverse("qual")))
-    return rows.withColumn("b", Q.qual_trim_bounds(F.col("q"), 30)).select("read_id", long("b.start", "s"), long("b.end", "e"))
+    rows = D.simulated_reads(spark, sf_dir).withColumn("b", Q.qual_trim_bounds(D.qualities(F.col("read_id"), F.length("seq")), 30))
+    return rows.select("read_id", long("b.start", "s"), long("b.end", "e"))
 
 
 @query("SELECT read_id, split_part(read_id, '_', 3)::INTEGER AS start, regexp_extract(split_part(read_id, '_', 10), '^[^$ ]*') AS ref FROM reads")
@@ -516,10 +542,20 @@ def em_step(spark, sf_dir):
     return alpha.withColumn("alpha", F.round("alpha", 4))
 
 
-@query()
+def _em_sql(least: int, most: int) -> str:
+    """state: 0 while shares move, 1 once they rest (small ones are zeroed), 2 after the round that follows."""
+    spread = "SELECT e.graph_id, e.path_id, e.count, r.alpha, sum(r.alpha) OVER (PARTITION BY e.graph_id, e.node_id) AS al FROM ec e JOIN em r ON r.graph_id = e.graph_id AND r.path_id = e.path_id WHERE e.count > 0 AND r.state < 2"
+    moved = f"SELECT p.graph_id, p.path_id, p.i, p.state, coalesce(n.s, 0)::DOUBLE AS alpha, max(CASE WHEN n.s > 0.01 AND abs(n.s - p.alpha) / n.s > 0.01 THEN 1 ELSE 0 END) OVER (PARTITION BY p.graph_id) AS moves FROM em p LEFT JOIN (SELECT graph_id, path_id, sum(alpha * count / al) AS s FROM ({spread}) WHERE al >= 2.0 ** -52 GROUP BY ALL) n USING (graph_id, path_id) WHERE p.state < 2 AND p.i + 1 < {most}"
+    state = f"SELECT *, CASE WHEN state = 1 THEN 2 WHEN moves = 0 AND i + 1 > {least} THEN 1 ELSE 0 END AS next FROM ({moved})"
+    return f"""SELECT * FROM (WITH RECURSIVE em AS (SELECT graph_id, path_id, -1 AS i, alpha, 0 AS state FROM alpha0
+      UNION ALL SELECT graph_id, path_id, i + 1, CASE WHEN next = 1 AND alpha < 1e-8 THEN 0 ELSE alpha END, next FROM ({state}))
+    SELECT graph_id, path_id, round(alpha, 4) AS alpha, (CASE WHEN state = 2 THEN i ELSE {most} END)::INTEGER AS iterations FROM em WHERE state = 2 OR i = {most} - 1)"""
+
+
+@query(_em_sql(10, 1000))
 def em_run(spark, sf_dir):
     ec, paths = D.line_classes(spark, sf_dir)
-    return E.em_run(ec, paths, 10, 1000)
+    return E.em_run(ec, paths, 10, 1000).withColumn("alpha", F.round("alpha", 4))
 
 
 ABUND = "(SELECT graph_id, path_id, alpha / sum(alpha) OVER (PARTITION BY graph_id) * 1000.0 / 50000.0 AS abundance FROM alpha1)"
@@ -591,11 +627,14 @@ def report_lowcov(spark, sf_dir):
     return line_report(spark, sf_dir, 0.5, True)
 
 
+SAMPLES = range(1, 8)  # every line number there is
+
+
 def sample_reports(spark, sf_dir):
-    """A report for each line number up to 3 as a sample, with the share of covered references."""
+    """A report for each line number as a sample, with the share of covered references."""
     refs = D.line_references(spark, sf_dir)
     out = []
-    for n in (1, 2, 3):
+    for n in SAMPLES:
         rows = D.line_alignments(spark, sf_dir).where(F.col("span") == 30 + 10 * n)
         out.append(R.report(rows, refs, 0.5).withColumn("sample", F.lit(n)))
     return out
@@ -603,13 +642,12 @@ def sample_reports(spark, sf_dir):
 
 def _sample_sql() -> str:
     one = "SELECT {n} AS sample, regexp_replace(ref_name, '^\\*', '') AS arg, any_value(k) AS read_count FROM (SELECT ref_name, any_value(ref_len) AS l, any_value(k) AS k, count(DISTINCT p) AS c FROM (SELECT a.ref_name, r.ref_len, count(*) OVER (PARTITION BY a.ref_name) AS k, a.pos, least(a.pos + a.span, r.ref_len - 1) AS hi FROM line_al a JOIN line_ref r USING (ref_name) WHERE span = {s} AND flags <> 4), LATERAL (SELECT unnest(range(pos, hi + 1)) AS p) GROUP BY ref_name) WHERE c / l >= 0.5 GROUP BY ref_name"
-    return " UNION ALL ".join(one.format(n=n, s=30 + 10 * n) for n in (1, 2, 3))
+    return " UNION ALL ".join(one.format(n=n, s=30 + 10 * n) for n in SAMPLES)
 
 
 @query(f"SELECT len(arg)::BIGINT AS status, sum(read_count)::BIGINT AS mapped, count(DISTINCT sample) AS n_samples, sum(read_count) / (1000 * count(DISTINCT sample)) AS share FROM ({_sample_sql()}) GROUP BY len(arg)")
 def arg_proportion(spark, sf_dir):
-    reports = sample_reports(spark, sf_dir)
-    rows = reports[0].unionByName(reports[1]).unionByName(reports[2]).withColumn("status", F.length("arg").cast("long"))
+    rows = functools.reduce(DataFrame.unionByName, sample_reports(spark, sf_dir)).withColumn("status", F.length("arg").cast("long"))
     return R.proportions(rows, "status", 1000)
 
 

@@ -2,41 +2,73 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import os
+import shutil
+import stat
+from typing import BinaryIO
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.sequence import base_check
 from ..operators.graph import Graph
+from .staging import staged
 
 READ_EXTENSIONS = ("fastq", "fq", "fasta", "fna", "fa")
+STRETCH = 1 << 16
 
 
 def scan_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file, line_no, line) of text files, plain or gzipped, numbered from 0 within each file.
 
-    Files are read whole by one task each, as their records span lines; many files run in parallel.
+    Files are split among tasks (gzipped ones cannot be). A pass that reads no more than where lines are counts those
+    of each split; what is broadcast or joined from it is a row per split. An empty file has no lines.
     """
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    place = F.monotonically_increasing_id()
+    rows = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), place.alias("place"), F.col("value").alias("line"))
+    splits = rows.groupBy("file", "split").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("split")) - F.col("n")
+    splits = staged(splits.select("file", "split", "first", before.alias("before")), "line-splits")
+    return rows.join(splits, ["file", "split"]).select("file", (F.col("place") - F.col("first") + F.col("before")).alias("line_no"), "line")
 
-    def run(batches):
-        import gzip
 
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                raw = gzip.decompress(content) if path.endswith(".gz") else content
-                lines = raw.decode().splitlines()
-                for at in range(0, len(lines), 100_000):
-                    part = lines[at : at + 100_000]
-                    yield pd.DataFrame({"file": path, "line_no": range(at, at + len(part)), "line": part})
+def running(lines: DataFrame, flag: Column, name: str = "run") -> DataFrame:
+    """lines with the number of lines of their file up to them, they included, for which flag holds.
 
-    return files.mapInPandas(run, "file string, line_no long, line string")
+    Files are counted in stretches of STRETCH lines, so that no task has to hold a whole file.
+    """
+    rows = lines.withColumn("flag__", F.when(flag, 1).otherwise(0).cast("long")).withColumn("stretch__", F.floor(F.col("line_no") / STRETCH))
+    per = rows.groupBy("file", "stretch__").agg(F.sum("flag__").alias("n__"))
+    before = F.sum("n__").over(Window.partitionBy("file").orderBy("stretch__")) - F.col("n__")
+    rows = rows.join(per.select("file", "stretch__", before.alias("before__")), ["file", "stretch__"])
+    inside = F.sum("flag__").over(Window.partitionBy("file", "stretch__").orderBy("line_no"))
+    return rows.withColumn(name, F.col("before__") + inside).drop("flag__", "stretch__", "n__", "before__")
+
+
+def spool(stream: BinaryIO, path: str, piped: bool = True) -> str:
+    """Copy a pipe's bytes into a file that executors can read, and return its path; an error where stdin is no pipe."""
+    if piped and not stat.S_ISFIFO(os.fstat(stream.fileno()).st_mode):
+        raise ValueError("no files were given and standard input is not a pipe")
+    with open(path, "wb") as out:
+        shutil.copyfileobj(stream, out, 1 << 20)
+    return path
+
+
+def chunk_lines(chunks: DataFrame, keep_last: bool = True) -> DataFrame:
+    """(file, line_no, line) out of (file, nth, chunk): text that came in pieces cut anywhere. Lines are trimmed,
+    blank ones dropped. keep_last: whether what follows the last line feed of a file is a line too."""
+    cut = chunks.select("file", "nth", F.posexplode(F.split("chunk", "\n")).alias("i", "part"), (F.size(F.split("chunk", "\n")) - 1).alias("last"))
+    cut = cut.withColumn("line_no", F.col("nth") * (1 << 24) + F.col("i")).withColumn("fed", F.col("i") < F.col("last"))
+    rows = running(cut, F.col("fed"), "fed_upto").withColumn("k", F.col("fed_upto") - F.when(F.col("fed"), 1).otherwise(0))
+    whole = rows.groupBy("file", "k").agg(F.array_sort(F.collect_list(F.struct("line_no", "part"))).alias("parts"), F.max("fed").alias("fed"))
+    lines = whole.select("file", F.col("k").alias("line_no"), F.trim(F.array_join(F.transform("parts", lambda x: x["part"]), "")).alias("line"), "fed")
+    return lines.where("line <> ''" if keep_last else "line <> '' and fed").drop("fed")
 
 
 def parse_fastq(lines: DataFrame) -> DataFrame:
     """(file, nth, read_id, seq, misc, qual) from (file, line_no, line). Blank lines are skipped, then every four
     lines are a read; fewer at the end are dropped."""
-    walk = Window.partitionBy("file").orderBy("line_no")
-    rows = lines.where("line <> ''").withColumn("k", F.row_number().over(walk) - 1)
+    rows = running(lines.where("line <> ''"), F.lit(True), "k").withColumn("k", F.col("k") - 1)
     nth = F.floor(F.col("k") / 4).cast("long")
     part = lambda i: F.max(F.when(F.col("k") % 4 == i, F.col("line")))
     reads = rows.groupBy("file", nth.alias("nth")).agg(F.count("*").alias("n"), part(0).alias("read_id"), part(1).alias("seq"), part(2).alias("misc"), part(3).alias("qual"))
@@ -46,11 +78,13 @@ def parse_fastq(lines: DataFrame) -> DataFrame:
 def parse_fasta(lines: DataFrame, stop_at_blank: bool = True) -> DataFrame:
     """(file, nth, read_id, seq): a `>` line begins a record (its id begins with `@`), other lines are strung
     together. The first blank line ends a file, unless stop_at_blank is off."""
-    walk = Window.partitionBy("file").orderBy("line_no")
-    rows = lines.withColumn("over", F.max(F.when(F.col("line") == "", 1).otherwise(0)).over(walk))
-    rows = rows.where("over = 0") if stop_at_blank else rows.where("line <> ''")
+    if stop_at_blank:
+        ends = lines.where("line = ''").groupBy("file").agg(F.min("line_no").alias("end__"))
+        rows = lines.join(ends, "file", "left").where("end__ is null or line_no < end__").drop("end__")
+    else:
+        rows = lines.where("line <> ''")
     head = F.col("line").startswith(">")
-    rows = rows.withColumn("nth", F.sum(F.when(head, 1).otherwise(0)).over(walk)).where("nth > 0")
+    rows = running(rows, head, "nth").where("nth > 0")
     parts = F.transform(F.array_sort(F.collect_list(F.when(~head, F.struct("line_no", "line")))), lambda x: x["line"])
     made = rows.groupBy("file", "nth").agg(F.max(F.when(head, F.concat(F.lit("@"), F.substring("line", 2, 1 << 30)))).alias("read_id"), F.array_join(parts, "").alias("seq"))
     return made.withColumn("nth", (F.col("nth") - 1).cast("long"))
@@ -140,6 +174,32 @@ def write_report(report: DataFrame, folder: str) -> None:
     report.orderBy("arg").write.csv(folder, sep="\t", header=False)
 
 
+def normalised(reads: DataFrame) -> DataFrame:
+    """reads with upper-case bases and N for all that is none."""
+    return reads.withColumn("seq", base_check(F.col("seq")))
+
+
+def write_sam(records: DataFrame, references: DataFrame, folder: str) -> None:
+    """A folder of text parts, in order: header first."""
+    sam_lines(records, references).orderBy("section", "k").select("line").write.text(folder)
+
+
+def check_files(paths: list[str], allowed: tuple[str, ...] | None = None) -> None:
+    """An error for a path that is missing, a directory or empty, or of an extension that is not allowed. Paths with a
+    scheme or a pattern are left to Spark."""
+    for path in paths:
+        if allowed:
+            check_extension(path, allowed)
+        if "://" in path or any(c in path for c in "*?[{"):
+            continue
+        if not os.path.exists(path):
+            raise ValueError(f"no such file: {path}")
+        if os.path.isdir(path):
+            raise ValueError(f"a directory, not a file: {path}")
+        if not os.path.getsize(path):
+            raise ValueError(f"an empty file: {path}")
+
+
 def check_extension(path: str, allowed: tuple[str, ...] = READ_EXTENSIONS) -> str:
     """The extension of a file, .gz aside; an error for one that is not allowed."""
     name = path.removesuffix(".gz")

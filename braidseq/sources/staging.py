@@ -12,10 +12,12 @@ _own: list[tempfile.TemporaryDirectory] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where the session names none."""
+    """spark.checkpoint.dir, or a temporary folder where a local session names none; a cluster must name one."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own:
         _own.append(tempfile.TemporaryDirectory(prefix="braidseq-"))
         atexit.register(_own[0].cleanup)

@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from braidseq.queries import registry
 
 DATA = "/root/testdata/sf0.001"
-CHEAP = ["scan_lines", "parse_fastq", "base_check", "revcomp", "kmers", "khf_sketch", "kmv_jaccard", "bloom_membership", "qual_trim", "msa_to_graph", "graph2seqs", "min_matches", "containment_join_text", "em_step", "coverage_cigar", "report_lowcov", "combined_profiles", "dedup_seqs", "alleles_fasta", "validate_reads"]
+CHEAP = ["scan_lines", "chunk_lines", "em_run", "arg_proportion", "parse_fastq", "base_check", "revcomp", "kmers", "khf_sketch", "kmv_jaccard", "bloom_membership", "qual_trim", "msa_to_graph", "graph2seqs", "min_matches", "containment_join_text", "em_step", "coverage_cigar", "report_lowcov", "combined_profiles", "dedup_seqs", "alleles_fasta", "validate_reads"]
 
 
 @pytest.fixture(scope="module")
@@ -35,7 +35,7 @@ def test_query_gives_the_rows_of_its_sql(spark, tables, name):
 def test_every_query_is_registered_with_what_it_needs():
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 70
-    assert {n for n in registry.QUERIES if n not in sql} == {"em_run", "haplotypes"}
+    assert {n for n in registry.QUERIES if n not in sql} == {"haplotypes"}
 
 
 def test_entry(spark):
