@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,13 +35,13 @@ class BlockedBloom:
         """False only for keys that are not in it."""
         shared = self.words
 
-        @F.pandas_udf("boolean")
-        def probe(a: pd.Series, b: pd.Series) -> pd.Series:
+        @F.arrow_udf("boolean")
+        def probe(a: pa.Array, b: pa.Array) -> pa.Array:
             words = shared.value
-            block = (a.to_numpy(np.int64) & (len(words) - 1)).astype(np.int64)
-            bits, hit = b.to_numpy(np.int64).view(np.uint64), np.ones(len(a), bool)
+            block = a.fill_null(0).to_numpy(zero_copy_only=False) & (len(words) - 1)
+            bits, hit = b.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64), np.ones(len(a), bool)
             for i in range(8):
                 hit &= (words[block, i] >> ((bits >> np.uint64(6 * i)) & np.uint64(63))) & np.uint64(1) == 1
-            return pd.Series(hit)
+            return pa.array(hit)
 
         return probe(h1, h2)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -16,6 +17,7 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_dir: list[str] = []
+_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,10 +42,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    _written.append(path)
     atexit.register(drop_path, spark, path)
     return spark.read.schema(schema).parquet(path)
 
 
+def settle(made, spark: SparkSession, name: str) -> tuple[DataFrame, str]:
+    """materialise(made()) and its path, once all that was written on the way to it is dropped."""
+    mark = len(_written)
+    out = materialise(made(), name)
+    for path in _written[mark:-1]:
+        drop_path(spark, path)
+    del _written[mark:-1]
+    return out, _written[-1]
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a table that materialise() wrote; silent when the session is gone."""
     try:
@@ -72,6 +85,7 @@ def hash128(col: Column, name: str = "h") -> list[Column]:
 
 BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
+KEPT_POWERS = 1 << 20  # those for longer texts are made anew, so that a worker does not hold on to them
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -100,6 +114,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
                 p[have : 2 * have] = p[:have] * np.uint64(pow(base, have, 1 << 64))
                 have *= 2
             both.append(p)
+        if size > KEPT_POWERS:
+            return both[0], both[1]
         _powers[0] = (both[0], both[1])
     return _powers[0]
 
@@ -174,6 +190,15 @@ def keep_only(operator: str) -> None:
     for name, kept in worker_memory.items():
         if name != operator:
             kept.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Have the C library return freed memory to the system, where it can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def small_batches(batches, limit: int = 1_000_000):

@@ -49,7 +49,9 @@ def line_dedup(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN
 
     Needs doc_id and text. A null or empty text is one empty line and stays empty (null becomes ''). A text that loses all
     lines becomes ''. Equal rows (same doc_id and text) count as documents of their own and lose the same
-    lines. Extra columns pass through, n_lines and n_dropped excepted, which are replaced.
+    lines. Extra columns pass through, n_lines and n_dropped excepted, which are replaced. Texts and lines of any
+    length are handled whole; a line in exactly `threshold` documents goes. An empty table gives an empty one. Keys are told
+    apart by 128 bits of hash: two different ones of a trillion share them with a chance of about one in 10**15.
     """
     common = materialise(common_lines(docs, threshold, min_chars).select("h1", "h2"), "line-common")
     hits = line_hashes(docs, min_chars).join(common, ["h1", "h2"], "left_semi")
@@ -88,4 +90,5 @@ FROM judged GROUP BY doc_id
 
 
 def stage_line_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with what line_dedup() leaves of their texts, which can be empty, and the columns that came in."""
     return line_dedup(docs).select(*docs.columns)

@@ -71,7 +71,8 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHAR
 
     Needs doc_id, source and text; columns of docs named like one of the new ones are replaced. A null text has size 0,
     a null source is a source of its own, ranked last; documents without words are taken 0 times. Equal
-    rows are documents of their own. An empty table gives an empty one. Reruns agree: the order inside a
+    rows are documents of their own. Texts of any length count with all their words; equal quotients go to the source
+    that sorts first. An empty table gives an empty one. Reruns agree: the order inside a
     shard is by a seeded hash of doc_id, then by size and text hash.
 
     mix_plan: epochs__ whole passes over the shard, and of its n_blocks__ blocks of block_words words (the last
@@ -141,7 +142,11 @@ def op10_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_mixing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """n_chars follows the text of each copy."""
+    """The copies that the mix takes, whole or in part, with the columns that came in; n_chars follows the text of each.
+
+    Null texts and those without words are taken 0 times; a null source is one of its own. Equal rows are taken
+    each. Other columns pass through, whatever their names. An empty table gives an empty one.
+    """
     whole = docs.withColumn("mix_row", F.struct(*docs.columns)).select("doc_id", "source", "text", "mix_row")
     out = realise(mix(whole), ["text", "mix_row"])
     out = out.select(*(F.col("text") if c == "text" else F.col("mix_row")[c].alias(c) for c in docs.columns))

@@ -274,6 +274,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Needs doc_id (integers) and text; other columns are not read. Rows that share a doc_id are taken for
     repeats of one row, and one of them is returned. Null and empty texts, and those without words, have
     the same (empty) word sequence and form one class. A null doc_id has no class: its row comes back with nulls.
+    Texts of any length are compared whole, ties of similarity with the bound count as links, and an empty
+    table gives an empty one.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     idf = docs.sparkSession.sparkContext.broadcast(idf_cells(docs))
@@ -327,7 +329,11 @@ def op3_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each class stays, and rows without a doc_id; repeats of one row go."""
+    """The document with the least doc_id of each class stays, and rows without a doc_id; repeats of one row go.
+
+    Null and empty texts are of one class, of which one stays. Texts of any length are compared whole. All columns
+    that came in pass through, whatever their names. An empty table gives an empty one.
+    """
     keep = near_classes(docs).where("doc_id = class_id").select("doc_id")
     kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))

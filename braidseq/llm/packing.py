@@ -238,7 +238,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
 
     Needs doc_id (integers) and text; other columns are not read. A null or empty text is the end id
     alone. Equal rows are packed each. An empty table gives an empty one. Only documents of more than
-    capacity ids are cut. sequence_id is the partition times 2**32 plus a number.
+    capacity ids are cut, however long; of bins with equal room the one filled last is taken. sequence_id is the partition times 2**32 plus a number.
     """
     local = materialise(local_pack(docs, path or tokenizer_path(), capacity, end_id, fan_in), "pack-local")
     level = local.where("at = 0 and up > 0").select("bin", F.col("up").alias("fill"), F.floor(F.col("node") / fan_in).alias("node"))
@@ -270,4 +270,5 @@ def op6_best_fit_packing(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_packing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all that is left, with null and empty texts, repeats and long texts as pack() has them."""
     return pack(docs)

@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bloom import BlockedBloom
-from ._common import keep_only, materialise, mix64, small_batches, span_hashes, table, text_of, utf8, word_spans
+from ._common import give_back, keep_only, materialise, mix64, small_batches, span_hashes, table, text_of, utf8, word_spans
 
 LENGTH = 400
 ANCHORS = (64, 368, 400)  # bytes; the last is the window itself
 PASSAGE = 51
 WORD_ANCHORS = (16, 44, 51)  # words
 HOT_KINDS = 1024
-SHARD_BYTES = 2_500_000
+SHARD_BYTES = 2_000_000
 BORDER = 0xFF  # no byte of UTF-8
 REGION = "u1 long, u2 long, owner long, key long, r long, lo long, size long, at long, bytes long, anchors long"
 
@@ -80,7 +80,7 @@ def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def region_rows(units: DataFrame, k: int, length: int, words: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only("suffix_dedup")
-        for batch in small_batches(batches, 500_000):
+        for batch in small_batches(batches, 250_000):
             raw, offsets = utf8(batch.column("text"))
             if words:
                 symbols, first, starts, ends = words_of(raw, offsets)
@@ -104,6 +104,7 @@ def sorted_repeats(parts: DataFrame, length: int, shards: int, words: bool) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ._external_suffixes import Space, repeated_starts
 
+        keep_only("suffix_dedup")
         space, size, ids, sizes = Space(), 0, [], []
         try:
             path = f"{space.folder.name}/text"
@@ -139,6 +140,7 @@ def sorted_repeats(parts: DataFrame, length: int, shards: int, words: bool) -> D
                 start = int(ends[-1])
         finally:
             space.close()
+            give_back()
 
     return parts.select("key", "r", "owner", "text").repartition(shards, "key").mapInArrow(run, "key long, r long, s long, e long")
 
@@ -186,7 +188,7 @@ def cut(docs: DataFrame, length: int) -> DataFrame:
     """From doc_id, text, hits (arrays of s and e) and passage to n_bytes, n_removed, spans, the bytes that stay and passage."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, 250_000):
             raw, offsets = utf8(batch.column("text"))
             kept, spans, n_bytes, removed = [], [], [], []
             for i, (s, e) in enumerate(zip(batch.column("s").to_pylist(), batch.column("e").to_pylist())):
