@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sketches import equal_slots
+from ..sources.staging import staged
 
 
 def min_match(q: Column, x: Column | int, slots: int, threshold: float) -> Column:
@@ -40,8 +41,9 @@ def containment_join(reads: DataFrame, windows: DataFrame, slots: int, window_km
     reads: read_key, sketch, q and any other columns but win_key and w, which are passed on; windows: win_key,
     sketch. lengths: the values of q where they are known (reads of one length), else they are found by a pass
     over q alone. Reads are sketched and looked up in one pass; windows, which are few beside them, are put into the
-    bands that those lengths ask for (`slots` kinds at most), and Spark broadcasts them if they are small. A
-    whole-sketch equality needs a single band, so the usual case is one hash join.
+    bands that those lengths ask for (`slots` kinds at most) and written, so that Spark knows how large they are
+    and broadcasts them only if they are small. A whole-sketch equality needs a single band, so the usual case is one
+    hash join.
     """
     n_bands = F.lit(slots) - min_match(F.col("q"), window_kmers, slots, threshold) + 1
     if lengths is None:
@@ -50,6 +52,7 @@ def containment_join(reads: DataFrame, windows: DataFrame, slots: int, window_km
         used = reads.sparkSession.createDataFrame([(q,) for q in sorted(set(lengths))], "q long").select(n_bands.alias("n")).where("n is not null").distinct()
     # one row for each number of bands, slots at most, so this product is bounded by slots times the windows
     targets = windows.select("win_key", F.col("sketch").alias("w")).join(F.broadcast(used)).select("win_key", "w", F.explode(bands(F.col("w"), F.col("n"), slots)).alias("b"))
+    targets = staged(targets, "join-targets")
     asked = reads.withColumn("n__", n_bands).where("n__ is not null and sketch is not null")
     probes = asked.withColumn("b", F.explode(bands(F.col("sketch"), F.col("n__"), slots)))
     pairs = probes.join(targets, "b").withColumn("equal", equal_slots(F.col("sketch"), F.col("w")))

@@ -7,7 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 CHANGE, SMALLEST, EPS = 1e-2, 1e-8, 2.0**-52
+LARGE = 2_000_000
 
 
 def em_input(path_nodes: DataFrame, nodes: DataFrame, weights: DataFrame) -> DataFrame:
@@ -29,8 +32,31 @@ def em_step(ec: DataFrame, alpha: DataFrame) -> DataFrame:
     return alpha.join(new, ["graph_id", "path_id"], "left").select("graph_id", "path_id", F.coalesce("new", F.lit(0.0)).alias("alpha"))
 
 
-def em_run(ec: DataFrame, paths: DataFrame, min_iterations: int = 50, max_iterations: int = 10000) -> DataFrame:
-    """(graph_id, path_id, alpha, iterations).
+def em_rounds(ec: DataFrame, paths: DataFrame, min_iterations: int, max_iterations: int) -> DataFrame:
+    """What em_run() gives, with em_step() over all graphs at a time: for graphs too large for a task. Each round's
+    shares are written, so that plans stay short; graphs leave as they converge."""
+    ec, key = staged(ec.where("count > 0"), "em-classes"), ["graph_id", "path_id"]
+    state = staged(start(paths.select(*key).distinct()).withColumn("last", F.lit(False)), "em-shares")
+    done = []
+    for i in range(max_iterations):
+        new = em_step(ec, state.select(*key, "alpha")).withColumnRenamed("alpha", "new").join(state, key)
+        moves = (F.col("new") > CHANGE) & (F.abs(F.col("new") - F.col("alpha")) / F.col("new") > CHANGE)
+        rests = ~F.max(moves).over(Window.partitionBy("graph_id")) & F.lit(i > min_iterations)
+        new = new.select(*key, "new", "last", (rests & ~F.col("last")).alias("rests"))
+        small = F.when(F.col("rests") & (F.col("new") < SMALLEST), 0.0).otherwise(F.col("new"))
+        new = staged(new.select(*key, small.alias("alpha"), F.col("rests"), F.col("last").alias("over")), "em-shares")
+        done.append(new.where("over").select(*key, "alpha", F.lit(i).alias("iterations")))
+        state = new.where("not over").select(*key, "alpha", F.col("rests").alias("last"))
+        if state.isEmpty():
+            break
+    out = state.select(*key, "alpha", F.lit(max_iterations).alias("iterations"))
+    for part in done:
+        out = out if part.isEmpty() else out.unionByName(part)
+    return out
+
+
+def em_run(ec: DataFrame, paths: DataFrame, min_iterations: int = 50, max_iterations: int = 10000, large: int = LARGE) -> DataFrame:
+    """(graph_id, path_id, alpha, iterations). Graphs of more than `large` rows go through em_rounds().
 
     A graph has converged when no path with a share above CHANGE moves by more than CHANGE of itself after
     min_iterations; shares below SMALLEST are then zeroed and one last round follows, whose number from 0
@@ -64,8 +90,15 @@ def em_run(ec: DataFrame, paths: DataFrame, min_iterations: int = 50, max_iterat
         graph = listed["graph_id"].iloc[0] if len(listed) else own["graph_id"].iloc[0]
         return pd.DataFrame({"graph_id": graph, "path_id": ids, "alpha": alpha, "iterations": rounds})
 
-    listed = paths.select("graph_id", "path_id").toDF("graph_id", "path_id").groupBy("graph_id")
-    return ec.toDF(*ec.columns).groupBy("graph_id").cogroup(listed).applyInPandas(run, f"graph_id {kind}, path_id int, alpha double, iterations int")
+    schema = f"graph_id {kind}, path_id int, alpha double, iterations int"
+    ec, listed = ec.toDF(*ec.columns), paths.select("graph_id", "path_id").toDF("graph_id", "path_id")
+    hot = staged(ec.groupBy("graph_id").count().where(F.col("count") > large).select("graph_id"), "em-large")
+    small = lambda df: df.join(F.broadcast(hot), "graph_id", "left_anti") if some else df  # noqa: E731  one row per graph of over `large` rows
+    some = not hot.isEmpty()
+    found = small(ec).groupBy("graph_id").cogroup(small(listed).groupBy("graph_id")).applyInPandas(run, schema)
+    if not some:
+        return found
+    return found.unionByName(em_rounds(ec.join(hot, "graph_id"), listed.join(hot, "graph_id"), min_iterations, max_iterations).selectExpr("graph_id", "CAST(path_id AS INT) path_id", "alpha", "iterations"))
 
 
 def em_abundance(em: DataFrame, kmer_totals: DataFrame, total_kmers: float, cutoff: float) -> DataFrame:

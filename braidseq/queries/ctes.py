@@ -99,6 +99,14 @@ PARTS = {
     "node_weights": """SELECT graph_id, node_id, sum(CASE WHEN n = 1 THEN n_kmers ELSE seg_len / al * n_kmers * n_bases END) AS kmer_freq FROM (
         SELECT t.graph_id, c.inner_id AS node_id, t.n_kmers, c.n_bases, n.seg_len, sum(n.seg_len) OVER r AS al, count(*) OVER r AS n
         FROM tried t JOIN contents c USING (win_key) JOIN nodes n ON n.graph_id = t.graph_id AND n.node_id = c.inner_id WINDOW r AS (PARTITION BY t.read_id, t.graph_id, t.win_key)) GROUP BY ALL""",
+    "cover": "SELECT n.graph_id, n.node_id, coalesce(w.kmer_freq, 0) / n.seg_len AS count FROM nodes n LEFT JOIN node_weights w ON w.graph_id = n.graph_id AND w.node_id = n.node_id",
+    "bare_nodes": f"SELECT DISTINCT graph_id, node_id FROM cover JOIN path_nodes USING (graph_id, node_id) WHERE count < {P.min_coverage}",
+    "bare_paths": "SELECT DISTINCT graph_id, path_id FROM path_nodes JOIN bare_nodes USING (graph_id, node_id)",
+    "alive": "SELECT e.graph_id, e.path_id, b.path_id IS NULL AS live FROM (SELECT DISTINCT graph_id, path_id FROM path_nodes) e LEFT JOIN bare_paths b USING (graph_id, path_id)",
+    "listed": "SELECT graph_id, path_id FROM alive WHERE graph_id IN (SELECT graph_id FROM alive WHERE live)",
+    "read_ec": "SELECT p.graph_id, p.node_id, p.path_id, c.count FROM path_nodes p JOIN (SELECT graph_id, path_id FROM alive WHERE live) USING (graph_id, path_id) JOIN cover c USING (graph_id, node_id)",
+    "read_alpha0": "SELECT graph_id, path_id, 1.0::DOUBLE / count(*) OVER (PARTITION BY graph_id) AS alpha FROM listed",
+    "kmer_totals": "SELECT graph_id, sum(n_kmers) AS kmer_total FROM (SELECT t.read_id, t.graph_id, t.win_key, any_value(t.n_kmers) AS n_kmers FROM tried t JOIN contents c USING (win_key) JOIN nodes n ON n.graph_id = t.graph_id AND n.node_id = c.inner_id GROUP BY t.read_id, t.graph_id, t.win_key HAVING count(*) > 1) GROUP BY graph_id",
     "made": "SELECT graph_id, node_id, ((node_id * 37 + graph_id * 11) % 211) * seg_len / 10.0::DOUBLE AS kmer_freq, seg_len FROM nodes",
     "low_nodes": "SELECT graph_id, node_id FROM made WHERE kmer_freq / seg_len < 0.15",
     "bad_paths": "SELECT DISTINCT graph_id, path_id FROM path_nodes JOIN low_nodes USING (graph_id, node_id)",
@@ -124,7 +132,7 @@ PARTS = {
 for _i in (1, 2, 3):
     PARTS[f"alpha{_i}"] = f"SELECT a.graph_id, a.path_id, coalesce(n.s, 0)::DOUBLE AS alpha FROM alpha{_i - 1} a LEFT JOIN (SELECT graph_id, path_id, sum(alpha * count / al) AS s FROM (SELECT e.*, a.alpha, sum(a.alpha) OVER (PARTITION BY e.graph_id, e.node_id) AS al FROM ec e JOIN alpha{_i - 1} a USING (graph_id, path_id) WHERE e.count > 0) WHERE al >= 2.0 ** -52 GROUP BY ALL) n USING (graph_id, path_id)"
 
-BIG = {"sketched", "read_sketch", "mappings", "cand", "todo", "hits", "aligned", "windows", "contents", "positions", "nodes", "path_nodes", "edges", "refs_of", "matches"}
+BIG = {"sketched", "read_sketch", "mappings", "cand", "todo", "hits", "aligned", "windows", "contents", "positions", "nodes", "path_nodes", "edges", "refs_of", "matches", "node_weights", "cover", "alive", "read_ec", "read_alpha0"}
 
 
 def sql(body: str) -> str:

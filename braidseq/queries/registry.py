@@ -17,6 +17,7 @@ from ..operators import windows as W
 from ..operators.containment import band_index, containment_join, min_match
 from ..plans import pipelines as P
 from ..sources import formats as IO
+from ..sources.staging import staged
 from . import data as D
 from .ctes import K as GK
 from .ctes import S as GS
@@ -393,8 +394,19 @@ def window_bands(spark, sf_dir):
 TEXT_HITS = f"(SELECT r.doc_id, r.start, w.item_id FROM (SELECT doc_id, start, {sketch('seq', D.TEXT_K, D.TEXT_SLOTS)} AS sk FROM doc_reads) r JOIN (SELECT DISTINCT item_id, {sketch('seq', D.TEXT_K, D.TEXT_SLOTS)} AS sk FROM item_windows) w ON r.sk = w.sk)"
 
 
+_text_hits: dict[tuple[str, str], DataFrame] = {}
+
+
 def text_hits(spark, sf_dir) -> DataFrame:
-    """Chunks of documents that contain a window of a benchmark item: (read_key (doc_id, start), item_id)."""
+    """Chunks of documents that contain a window of a benchmark item: (read_key (doc_id, start), win_key). Found once
+    per application and folder, and kept as a table, for the queries that share them."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _text_hits:
+        _text_hits[key] = staged(_find_text_hits(spark, sf_dir), "text-hits")
+    return _text_hits[key]
+
+
+def _find_text_hits(spark, sf_dir) -> DataFrame:
     reads = D.document_reads(spark, sf_dir).select(F.struct("doc_id", "start").alias("read_key"), S.khf_sketch(F.col("seq"), D.TEXT_K, D.TEXT_SLOTS).alias("sketch"), F.lit(D.TEXT_WINDOW - D.TEXT_K + 1).alias("q"))
     windows = D.item_windows(spark, sf_dir).select(F.col("item_id").alias("win_key"), S.khf_sketch(F.col("seq"), D.TEXT_K, D.TEXT_SLOTS).alias("sketch")).distinct()
     n = D.TEXT_WINDOW - D.TEXT_K + 1
@@ -542,17 +554,17 @@ def em_step(spark, sf_dir):
     return alpha.withColumn("alpha", F.round("alpha", 4))
 
 
-def _em_sql(least: int, most: int) -> str:
+def _em_sql(least: int, most: int, ec: str = "ec", alpha: str = "alpha0") -> str:
     """state: 0 while shares move, 1 once they rest (small ones are zeroed), 2 after the round that follows."""
-    spread = "SELECT e.graph_id, e.path_id, e.count, r.alpha, sum(r.alpha) OVER (PARTITION BY e.graph_id, e.node_id) AS al FROM ec e JOIN em r ON r.graph_id = e.graph_id AND r.path_id = e.path_id WHERE e.count > 0 AND r.state < 2"
+    spread = f"SELECT e.graph_id, e.path_id, e.count, r.alpha, sum(r.alpha) OVER (PARTITION BY e.graph_id, e.node_id) AS al FROM {ec} e JOIN em r ON r.graph_id = e.graph_id AND r.path_id = e.path_id WHERE e.count > 0 AND r.state < 2"
     moved = f"SELECT p.graph_id, p.path_id, p.i, p.state, coalesce(n.s, 0)::DOUBLE AS alpha, max(CASE WHEN n.s > 0.01 AND abs(n.s - p.alpha) / n.s > 0.01 THEN 1 ELSE 0 END) OVER (PARTITION BY p.graph_id) AS moves FROM em p LEFT JOIN (SELECT graph_id, path_id, sum(alpha * count / al) AS s FROM ({spread}) WHERE al >= 2.0 ** -52 GROUP BY ALL) n USING (graph_id, path_id) WHERE p.state < 2 AND p.i + 1 < {most}"
     state = f"SELECT *, CASE WHEN state = 1 THEN 2 WHEN moves = 0 AND i + 1 > {least} THEN 1 ELSE 0 END AS next FROM ({moved})"
-    return f"""SELECT * FROM (WITH RECURSIVE em AS (SELECT graph_id, path_id, -1 AS i, alpha, 0 AS state FROM alpha0
+    return f"""SELECT * FROM (WITH RECURSIVE em AS (SELECT graph_id, path_id, -1 AS i, alpha, 0 AS state FROM {alpha}
       UNION ALL SELECT graph_id, path_id, i + 1, CASE WHEN next = 1 AND alpha < 1e-8 THEN 0 ELSE alpha END, next FROM ({state}))
-    SELECT graph_id, path_id, round(alpha, 4) AS alpha, (CASE WHEN state = 2 THEN i ELSE {most} END)::INTEGER AS iterations FROM em WHERE state = 2 OR i = {most} - 1)"""
+    SELECT graph_id, path_id, alpha, (CASE WHEN state = 2 THEN i ELSE {most} END)::INTEGER AS iterations FROM em WHERE state = 2 OR i = {most} - 1)"""
 
 
-@query(_em_sql(10, 1000))
+@query(f"SELECT graph_id, path_id, round(alpha, 4) AS alpha, iterations FROM ({_em_sql(10, 1000)})")
 def em_run(spark, sf_dir):
     ec, paths = D.line_classes(spark, sf_dir)
     return E.em_run(ec, paths, 10, 1000).withColumn("alpha", F.round("alpha", 4))
@@ -578,7 +590,9 @@ def em_paths(spark, sf_dir):
     return listed.select("graph_id", "path_id", "name", F.round("abundance", 6).alias("abundance"))
 
 
-@query()
+@query(f"""SELECT (SELECT count(DISTINCT graph_id) FROM listed) AS n_graphs, avg(iterations) AS mean_iterations, coalesce(sum(n), 0)::BIGINT AS n_alleles FROM (
+  SELECT graph_id, any_value(iterations) AS iterations, count(*) FILTER (alpha / al * kmer_total / (SELECT sum(kmer_total) FROM kmer_totals) >= 1e-4) AS n FROM (
+    SELECT *, sum(alpha) OVER (PARTITION BY graph_id) AS al FROM ({_em_sql(10, 1000, 'read_ec', 'read_alpha0')})) LEFT JOIN kmer_totals USING (graph_id) GROUP BY graph_id)""")
 def haplotypes(spark, sf_dir):
     """The whole chain on the graphs of the benchmark: weights, pruning, EM and called alleles."""
     index = D.index(spark, sf_dir)

@@ -153,7 +153,8 @@ def gfa_lines(graph: Graph, weights: DataFrame, comments: list[str] | None = Non
 def write_gfa(graph: Graph, weights: DataFrame, folder: str, comments: list[str] | None = None) -> None:
     """One text folder per graph, graph_id=<n>, its lines in order."""
     lines = gfa_lines(graph, weights, comments)
-    lines.repartition("graph_id").sortWithinPartitions("graph_id", "section", "k1", "k2").select("graph_id", "line").write.partitionBy("graph_id").text(folder)
+    # by range: a hash repartition of this union can be taken for redundant, which leaves a part for each section
+    lines.repartitionByRange("graph_id").sortWithinPartitions("graph_id", "section", "k1", "k2").select("graph_id", "line").write.partitionBy("graph_id").text(folder)
 
 
 def fasta_lines(called: DataFrame, sequences: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
-from braidseq.llm._common import materialise, table
+from braidseq.llm._common import drop_path, settle, table
 from braidseq.llm.line_dedup import stage_line_dedup
 from braidseq.llm.mixing import stage_mixing
 from braidseq.llm.near_dedup import stage_near_dedup
@@ -24,8 +26,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; pieces with the sequence and place of each."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over `documents`; pieces with the sequence and place of each. A stage's own tables, and the one
+    it read, are dropped once its result is written."""
+    docs, read = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, path = settle(functools.partial(stage, spark, docs, sf_dir), spark, f"stage-{name}")
+        if read:
+            drop_path(spark, read)
+        read = path
     return docs

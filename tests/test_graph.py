@@ -151,6 +151,17 @@ def test_fixed_em_keeps_the_mass(spark):
         E.em_run(ec, paths, 10, 5)
 
 
+def test_large_graphs_converge_alike(spark):
+    """In rounds of joins or each in one task: the same shares and numbers of rounds."""
+    rng = random.Random(8)
+    rows = [(g, n, p, float(rng.randint(0, 9))) for g in range(4) for n in range(6) for p in rng.sample(range(5), 2)]
+    ec = spark.createDataFrame(rows, "graph_id int, node_id long, path_id int, count double")
+    paths = spark.createDataFrame([(g, p) for g in range(5) for p in range(5)], "graph_id int, path_id int")
+    runs = [{(r.graph_id, r.path_id): (round(r.alpha, 9), r.iterations) for r in E.em_run(ec, paths, 2, 6, large).collect()} for large in (10**9, 0, 11)]
+    assert runs[0] == runs[2] and len(runs[0]) == 25
+    assert runs[1] == runs[0]
+
+
 def coverage_string(ops):
     """(run-length string, internal gap) from the list of runs. What the gap rule looks at is the runs, of which a
     last one of a single base hides the one before it: a gap is internal if three or more are left, but for D M D."""
@@ -228,6 +239,19 @@ def test_streamed_weights_are_the_batch_ones(spark, alleles, tmp_path):
     assert rows(read_weights(spark, str(tmp_path / "out"))) == rows(want)
 
 
+def test_streamed_alignments_are_the_batch_ones(spark, alleles, tmp_path):
+    from braidseq.streaming.weights import stream_alignments
+
+    index = P.build_index(msa_rows(spark, alleles), Params(k=11, slots=8, window=40, threshold=0.9))
+    df = spark.createDataFrame([(f"r{i}", alleles[1][i : i + 40], "I" * 40) for i in range(0, 80, 11)], "read_id string, seq string, qual string")
+    df.repartition(2).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream_alignments(stream, index, str(tmp_path / "out")).awaitTermination()
+    want = P.align_reads(df, index)["records"]
+    rows = lambda x: sorted(tuple(r) for r in x.select(*want.columns).collect())
+    assert rows(spark.read.parquet(str(tmp_path / "out/records"))) == rows(want) and want.count() > 0
+
+
 def test_parameters():
     with pytest.raises(ValueError):
         Params(k=200, window=100)
