@@ -20,15 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 
-CHUNK = 1 << 16
-SMALL = 1 << 15
+CHUNK = 1 << 17
+SMALL = 1 << 16
 MAX_ROUNDS, IN_A_ROW = 48, 12
 
 
 class Space:
     """Arrays in memory up to a budget for each, in files of a temporary folder beyond it."""
 
-    def __init__(self, budget: int = 1 << 21, folder: str | None = None):
+    def __init__(self, budget: int = 1 << 22, folder: str | None = None):
         self.budget, self.folder, self.files = budget, tempfile.TemporaryDirectory(prefix="suffixes-", dir=folder), 0
         self.on_disk = self.levels = self.touched = 0
         self.maps: dict[int, np.memmap] = {}  # by the plain array that is handed out
