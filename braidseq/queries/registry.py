@@ -137,7 +137,7 @@ UNION ALL SELECT 'edge', g, src, dst, '' FROM edges JOIN heavy USING (graph_id)
 UNION ALL SELECT 'step', g, ord, node_id, name FROM path_nodes JOIN paths USING (graph_id, path_id) JOIN heavy USING (graph_id))""")
 def parse_gfa(spark, sf_dir):
     """Every segment, link and step of a path that was written and read."""
-    g, weights = IO.parse_gfa(gfa_file(spark, sf_dir))
+    g, weights = IO.parse_gfa(staged(gfa_file(spark, sf_dir), "gfa-lines"))
     row = lambda df, kind, a, b, text: df.select(F.lit(kind).alias("kind"), long("graph_id", "g"), long(a, "a"), long(b, "b"), text.alias("text"))
     out = row(g.nodes.join(weights, ["graph_id", "node_id"]), "node", "node_id", "kmer_freq", F.col("seq"))
     return out.unionByName(row(g.edges, "edge", "src", "dst", F.lit(""))).unionByName(row(g.path_nodes.join(g.paths, ["graph_id", "path_id"]), "step", "ord", "node_id", F.col("name")))

@@ -115,9 +115,11 @@ def parse_gfa(lines: DataFrame) -> tuple[Graph, DataFrame]:
     ids = lines.select("file").distinct().withColumn("graph_id", order.cast("int"))
     rows = lines.join(ids, "file").withColumn("f", F.split("line", "\t"))
     field = lambda i: F.get("f", F.lit(i))
-    s = rows.where(field(0) == "S").select("graph_id", field(1).cast("long").alias("node_id"), F.upper(field(2)).alias("seq"), F.coalesce(F.regexp_extract("line", r"\tKC:i:(\d+)", 1).try_cast("double"), F.lit(0.0)).alias("kmer_freq"))
+    # numbers are read of the rows that have them alone, wherever a filter is moved to
+    number = lambda kind, i: F.when(field(0) == kind, field(i)).cast("long")
+    s = rows.where(field(0) == "S").select("graph_id", number("S", 1).alias("node_id"), F.upper(field(2)).alias("seq"), F.coalesce(F.regexp_extract("line", r"\tKC:i:(\d+)", 1).try_cast("double"), F.lit(0.0)).alias("kmer_freq"))
     s = s.withColumn("seq", F.regexp_replace("seq", "[^ACGTN]", "N"))
-    edges = rows.where(field(0) == "L").select("graph_id", field(1).cast("long").alias("src"), field(3).cast("long").alias("dst"))
+    edges = rows.where(field(0) == "L").select("graph_id", number("L", 1).alias("src"), number("L", 3).alias("dst"))
     p = rows.where(field(0) == "P").withColumn("path_id", (F.row_number().over(Window.partitionBy("graph_id").orderBy("line_no")) - 1).cast("int"))
     steps = p.select("graph_id", "path_id", F.posexplode(F.split(field(2), ",")).alias("ord", "step"))
     node = F.when(F.col("step").endswith("+"), F.rtrim("step", F.lit("+"))).otherwise(F.raise_error(F.concat(F.lit("not a forward step: "), "step")).cast("string"))
