@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 
 import corpus_pipeline as C
+from braidseq.llm._common import materialise
 from braidseq.llm.line_dedup import THRESHOLD
 
 from .helpers import WORD, clash, documents, sentence
@@ -21,7 +22,7 @@ def test_stages_by_hand(spark, tmp_path):
     steps = {}
     at = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for name, stage in C.STAGES:
-        at = C.materialise(stage(spark, at, str(tmp_path)), name)
+        at = materialise(stage(spark, at, str(tmp_path)), name)
         steps[name] = at.collect()
         if name != "packing":
             assert at.columns == docs.columns
