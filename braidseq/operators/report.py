@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sequence import once
+
 CUTOFF = 0.97
 
 
+def _ends(alignments: DataFrame, references: DataFrame, strict_interval: bool = False) -> DataFrame:
+    """Alignments with ref_len and `end`, their last base on the reference (before pos: they have none)."""
+    return alignments.join(references, "ref_name").withColumn("end", F.least(F.col("pos") + F.col("span") - (1 if strict_interval else 0), F.col("ref_len") - 1))
+
+
 def pileup(alignments: DataFrame, references: DataFrame, strict_interval: bool = False) -> DataFrame:
     """(ref_name, pos, depth) of every base of a reference with an alignment.
 
@@ -15,9 +22,7 @@ def pileup(alignments: DataFrame, references: DataFrame, strict_interval: bool =
     a running sum over +1 and -1 events, not a row per aligned base. An interval has both its ends, one
     base more than the span, unless strict_interval is set; it is cut at the reference's end.
     """
-    rows = alignments.where("flags <> 4").join(references, "ref_name")
-    end = F.least(F.col("pos") + F.col("span") - (1 if strict_interval else 0), F.col("ref_len") - 1)
-    rows = rows.select("ref_name", "ref_len", "pos", end.alias("end")).where("end >= pos")
+    rows = _ends(alignments.where("flags <> 4"), references, strict_interval).select("ref_name", "ref_len", "pos", "end").where("end >= pos")
     events = rows.select("ref_name", F.explode(F.array(F.struct(F.col("pos").alias("at"), F.lit(1).alias("n")), F.struct((F.col("end") + 1).alias("at"), F.lit(-1).alias("n")))).alias("e"))
     events = events.groupBy("ref_name", F.col("e.at").alias("at")).agg(F.sum("e.n").alias("n"))
     bases = rows.select("ref_name", "ref_len").distinct().select("ref_name", F.explode(F.sequence(F.lit(0), F.col("ref_len") - 1)).alias("at"))
@@ -39,37 +44,73 @@ def coverage_runs(depths: DataFrame) -> DataFrame:
     return rows.groupBy("ref_name", "run", "op").agg(F.count("*").alias("n"))
 
 
+def _cover_string(runs: Column) -> tuple[Column, Column]:
+    """(cigar, internal_gap) of an array of structs with n and op, the runs of a reference in order."""
+    last = F.element_at(runs, -1)
+    counted = F.when((F.size(runs) > 1) & (last["n"] == 1), F.concat(F.slice(runs, F.lit(1), F.size(runs) - 2), F.array(last))).otherwise(runs)
+    bare = F.size(F.filter(counted, lambda x: x["op"] == "D"))
+    inside = ~((F.size(counted) <= 2) | ((F.size(counted) == 3) & (bare == 2)))
+    one = F.aggregate(runs, F.lit(0).cast("long"), lambda a, x: a + x["n"]) == 1
+    text = F.array_join(F.transform(runs, lambda x: F.concat(x["n"].cast("string"), x["op"])), "")
+    return F.when(one, "").otherwise(text), inside & ~one
+
+
 def coverage_cigar(runs: DataFrame) -> DataFrame:
     """(ref_name, cigar, internal_gap). A reference of one base has an empty string.
 
     The gap test counts runs of D and M: none is internal if there are two runs or fewer, or two D around
     one M. A last run of one base adds itself and leaves out the run before it.
     """
-    runs = runs.withColumn("after", F.lead("n").over(Window.partitionBy("ref_name").orderBy("run"))).withColumn("later", F.lead("run", 2).over(Window.partitionBy("ref_name").orderBy("run")))
-    skipped = F.col("later").isNull() & (F.coalesce("after", F.lit(0)) == 1)
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("run", "n", "op"))), lambda x: F.concat(x["n"].cast("string"), x["op"]))
-    count = lambda op: F.count_if((F.col("op") == op) & ~skipped)
-    per = runs.groupBy("ref_name").agg(F.array_join(parts, "").alias("cigar"), count("D").alias("d"), count("M").alias("m"), F.sum("n").alias("bases"))
-    inside = ~((F.col("d") + F.col("m") <= 2) | ((F.col("d") == 2) & (F.col("m") == 1)))
-    one = F.col("bases") == 1
-    return per.select("ref_name", F.when(one, "").otherwise(F.col("cigar")).alias("cigar"), (inside & ~one).alias("internal_gap"))
+    per = runs.groupBy("ref_name").agg(F.array_sort(F.collect_list(F.struct("run", "n", "op"))).alias("runs"))
+    cigar, gap = _cover_string(F.col("runs"))
+    return per.select("ref_name", cigar.alias("cigar"), gap.alias("internal_gap"))
+
 
+def stretches(alignments: DataFrame, references: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, ref_name, ref_len, nth, bare, covered, reads): each covered stretch of a reference, the bare bases before
+    it, and the alignments that start in it; they are what pileup() has depth at, without a row per base.
 
-def report(alignments: DataFrame, references: DataFrame, cutoff: float = CUTOFF, low_coverage: bool = False) -> DataFrame:
-    """(arg, read_count, gene_length, coverage_cigar) of the references covered well enough.
+    A stretch starts where one starts beyond the end of all before it. References with one name are one. Alignments
+    are dealt by reference once; those of one start are one row from there, so that none has more rows than bases.
+    nth 0 has the alignments without a base before the first stretch.
+    """
+    keys = [*by, "ref_name"]
+    lengths = references.groupBy("ref_name").agg(F.max("ref_len").alias("ref_len"))
+    dealt = alignments.where("flags <> 4").select(*keys, "pos", "span").repartition("ref_name")
+    end = F.when((F.col("end") >= F.col("pos")) & (F.col("end") >= 0), F.col("end"))
+    starts = _ends(dealt, lengths).groupBy(*keys, "ref_len", "pos").agg(F.max(end).alias("end"), F.count("*").alias("reads"))
+    walk = Window.partitionBy(*keys).orderBy("pos")
+    starts = starts.withColumn("reach", F.coalesce(F.max("end").over(walk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)))
+    first = F.col("end").isNotNull() & ((F.col("pos") > F.col("reach") + 1) | (F.col("reach") < 0))
+    starts = starts.withColumn("first", first).withColumn("nth", F.count_if("first").over(walk.rowsBetween(Window.unboundedPreceding, 0)))
+    of_first = lambda c: F.max(F.when(F.col("first"), c))
+    pos = F.greatest("pos", F.lit(0))
+    found = starts.groupBy(*keys, "ref_len", "nth").agg(of_first(pos).alias("pos"), of_first(pos - F.col("reach") - 1).alias("bare"), F.max("end").alias("end"), F.sum("reads").alias("reads"))
+    long = lambda c: F.coalesce(c.cast("long"), F.lit(0).cast("long"))
+    return found.select(*keys, F.col("ref_len").cast("long").alias("ref_len"), "nth", long(F.col("bare")).alias("bare"), long(F.col("end") - F.col("pos") + 1).alias("covered"), "reads")
+
+
+def report(alignments: DataFrame, references: DataFrame, cutoff: float = CUTOFF, low_coverage: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, arg, read_count, gene_length, coverage_cigar) of the references covered well enough.
 
     low_coverage sets the cutoff to CUTOFF and drops references with an internal gap. A leading `*` of a
-    name goes. References without alignments are not reported; those with one name are one.
+    name goes. References without alignments are not reported; those with one name are one. by: columns of
+    the alignments, such as a sample, each of whose values gets a report of its own.
     """
     if not 0 <= cutoff <= 1:
         raise ValueError("cutoff must be between 0 and 1")
-    depths = pileup(alignments, references)
-    wide = breadth(depths).where(F.col("share") >= (CUTOFF if low_coverage else cutoff))
-    rows = wide.join(coverage_cigar(coverage_runs(depths)), "ref_name")
+    found = stretches(alignments, references, by)
+    total = lambda c: F.sum(c).alias(c)
+    parts = F.array_sort(F.collect_list(F.struct("nth", "bare", "covered"))).alias("parts")
+    per = found.groupBy(*by, "ref_name", "ref_len").agg(total("bare"), total("covered"), total("reads"), parts)
+    rows = per.where(F.col("covered") > 0).where(F.col("covered") / F.col("ref_len") >= (CUTOFF if low_coverage else cutoff))
+    run = lambda n, op: F.struct(n.alias("n"), F.lit(op).alias("op"))
+    runs = F.flatten(F.transform("parts", lambda x: F.array(run(x["bare"], "D"), run(x["covered"], "M"))))
+    runs = F.concat(runs, F.array(run(F.col("ref_len") - F.col("bare") - F.col("covered"), "D")))
+    rows = rows.withColumn("text", once(F.filter(runs, lambda x: x["n"] > 0), lambda x: F.struct(*(c.alias(n) for n, c in zip(("cigar", "gap"), _cover_string(x), strict=True)))))
     if low_coverage:
-        rows = rows.where("not internal_gap")
-    counts = alignments.where("flags <> 4").groupBy("ref_name").agg(F.count("*").alias("read_count"))
-    return rows.join(counts, "ref_name").select(F.regexp_replace("ref_name", r"^\*", "").alias("arg"), "read_count", F.col("ref_len").alias("gene_length"), F.col("cigar").alias("coverage_cigar"))
+        rows = rows.where("not text.gap")
+    return rows.select(*by, F.regexp_replace("ref_name", r"^\*", "").alias("arg"), F.col("reads").alias("read_count"), F.col("ref_len").alias("gene_length"), F.col("text.cigar").alias("coverage_cigar"))
 
 
 def reference_join(alignments: DataFrame, references: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -644,6 +642,12 @@ def report_lowcov(spark, sf_dir):
 SAMPLES = range(1, 8)  # every line number there is
 
 
+def sample_report(spark, sf_dir):
+    """A report for each line number as a sample, with the length of the reference's name as its status."""
+    rows = D.line_alignments(spark, sf_dir).where(F.col("span").isin([30 + 10 * n for n in SAMPLES])).withColumn("sample", ((F.col("span") - 30) / 10).cast("int"))
+    return R.report(rows, D.line_references(spark, sf_dir), 0.5, by=("sample",)).withColumn("status", F.length("arg").cast("long"))
+
+
 def sample_reports(spark, sf_dir):
     """A report for each line number as a sample, with the share of covered references."""
     refs = D.line_references(spark, sf_dir)
@@ -661,8 +665,7 @@ def _sample_sql() -> str:
 
 @query(f"SELECT len(arg)::BIGINT AS status, sum(read_count)::BIGINT AS mapped, count(DISTINCT sample) AS n_samples, sum(read_count) / (1000 * count(DISTINCT sample)) AS share FROM ({_sample_sql()}) GROUP BY len(arg)")
 def arg_proportion(spark, sf_dir):
-    rows = functools.reduce(DataFrame.unionByName, sample_reports(spark, sf_dir)).withColumn("status", F.length("arg").cast("long"))
-    return R.proportions(rows, "status", 1000)
+    return R.proportions(sample_report(spark, sf_dir), "status", 1000)
 
 
 @query(f"SELECT len(arg)::BIGINT AS status, count(*) AS n_rows, count(DISTINCT arg) AS n_args FROM ({_sample_sql()}) GROUP BY len(arg)")
