@@ -648,16 +648,6 @@ def sample_report(spark, sf_dir):
     return R.report(rows, D.line_references(spark, sf_dir), 0.5, by=("sample",)).withColumn("status", F.length("arg").cast("long"))
 
 
-def sample_reports(spark, sf_dir):
-    """A report for each line number as a sample, with the share of covered references."""
-    refs = D.line_references(spark, sf_dir)
-    out = []
-    for n in SAMPLES:
-        rows = D.line_alignments(spark, sf_dir).where(F.col("span") == 30 + 10 * n)
-        out.append(R.report(rows, refs, 0.5).withColumn("sample", F.lit(n)))
-    return out
-
-
 def _sample_sql() -> str:
     one = "SELECT {n} AS sample, regexp_replace(ref_name, '^\\*', '') AS arg, any_value(k) AS read_count FROM (SELECT ref_name, any_value(ref_len) AS l, any_value(k) AS k, count(DISTINCT p) AS c FROM (SELECT a.ref_name, r.ref_len, count(*) OVER (PARTITION BY a.ref_name) AS k, a.pos, least(a.pos + a.span, r.ref_len - 1) AS hi FROM line_al a JOIN line_ref r USING (ref_name) WHERE span = {s} AND flags <> 4), LATERAL (SELECT unnest(range(pos, hi + 1)) AS p) GROUP BY ref_name) WHERE c / l >= 0.5 GROUP BY ref_name"
     return " UNION ALL ".join(one.format(n=n, s=30 + 10 * n) for n in SAMPLES)
@@ -670,7 +660,7 @@ def arg_proportion(spark, sf_dir):
 
 @query(f"SELECT len(arg)::BIGINT AS status, count(*) AS n_rows, count(DISTINCT arg) AS n_args FROM ({_sample_sql()}) GROUP BY len(arg)")
 def combined_profiles(spark, sf_dir):
-    return R.combined_profiles([r.withColumn("status", F.length("arg").cast("long")) for r in sample_reports(spark, sf_dir)], "status")
+    return R.combined_profiles([sample_report(spark, sf_dir)], "status")
 
 
 @query("SELECT upper(seq) AS seq, min(doc_id) AS id, count(*) AS copies FROM doc_seq GROUP BY upper(seq)")

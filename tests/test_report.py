@@ -68,7 +68,7 @@ def shuffled(spark, df):
     return written() - before
 
 
-@pytest.mark.parametrize("name", ["arg_proportion"])
+@pytest.mark.parametrize("name", ["arg_proportion", "combined_profiles"])
 def test_alignments_are_dealt_once(spark, name):
     """A row per base and sample would be 100 times the alignments, and all of them on disk."""
     if not os.path.isdir(DATA):
