@@ -10,11 +10,6 @@ from ..functions.sequence import once
 CUTOFF = 0.97
 
 
-def _ends(alignments: DataFrame, references: DataFrame, strict_interval: bool = False) -> DataFrame:
-    """Alignments with ref_len and `end`, their last base on the reference (before pos: they have none)."""
-    return alignments.join(references, "ref_name").withColumn("end", F.least(F.col("pos") + F.col("span") - (1 if strict_interval else 0), F.col("ref_len") - 1))
-
-
 def pileup(alignments: DataFrame, references: DataFrame, strict_interval: bool = False) -> DataFrame:
     """(ref_name, pos, depth) of every base of a reference with an alignment.
 
@@ -22,7 +17,9 @@ def pileup(alignments: DataFrame, references: DataFrame, strict_interval: bool =
     a running sum over +1 and -1 events, not a row per aligned base. An interval has both its ends, one
     base more than the span, unless strict_interval is set; it is cut at the reference's end.
     """
-    rows = _ends(alignments.where("flags <> 4"), references, strict_interval).select("ref_name", "ref_len", "pos", "end").where("end >= pos")
+    rows = alignments.where("flags <> 4").join(references, "ref_name")
+    end = F.least(F.col("pos") + F.col("span") - (1 if strict_interval else 0), F.col("ref_len") - 1)
+    rows = rows.select("ref_name", "ref_len", "pos", end.alias("end")).where("end >= pos")
     events = rows.select("ref_name", F.explode(F.array(F.struct(F.col("pos").alias("at"), F.lit(1).alias("n")), F.struct((F.col("end") + 1).alias("at"), F.lit(-1).alias("n")))).alias("e"))
     events = events.groupBy("ref_name", F.col("e.at").alias("at")).agg(F.sum("e.n").alias("n"))
     bases = rows.select("ref_name", "ref_len").distinct().select("ref_name", F.explode(F.sequence(F.lit(0), F.col("ref_len") - 1)).alias("at"))
@@ -70,15 +67,18 @@ def stretches(alignments: DataFrame, references: DataFrame, by: tuple[str, ...]
     """(*by, ref_name, ref_len, nth, bare, covered, reads): each covered stretch of a reference, the bare bases before
     it, and the alignments that start in it; they are what pileup() has depth at, without a row per base.
 
-    A stretch starts where one starts beyond the end of all before it. References with one name are one. Alignments
-    are dealt by reference once; those of one start are one row from there, so that none has more rows than bases.
-    nth 0 has the alignments without a base before the first stretch.
+    A stretch starts where an alignment does that is beyond the end of all before it. References with one name are
+    one. Alignments are dealt by reference once; those of one start are one row from there on, before anything is
+    sorted, so that a reference has no more rows than bases. nth 0 has the alignments without a base before the first
+    stretch.
     """
     keys = [*by, "ref_name"]
     lengths = references.groupBy("ref_name").agg(F.max("ref_len").alias("ref_len"))
     dealt = alignments.where("flags <> 4").select(*keys, "pos", "span").repartition("ref_name")
-    end = F.when((F.col("end") >= F.col("pos")) & (F.col("end") >= 0), F.col("end"))
-    starts = _ends(dealt, lengths).groupBy(*keys, "ref_len", "pos").agg(F.max(end).alias("end"), F.count("*").alias("reads"))
+    last = F.coalesce(F.col("pos") + F.col("span"), F.lit(2**31 - 1))  # without a span: all that follows, as in pileup()
+    starts = dealt.groupBy(*keys, "pos").agg(F.max(last).alias("last"), F.count("*").alias("reads")).join(lengths, "ref_name")
+    end = F.least(F.col("last"), F.col("ref_len") - 1)
+    starts = starts.withColumn("end", F.when((end >= F.col("pos")) & (end >= 0), end))
     walk = Window.partitionBy(*keys).orderBy("pos")
     starts = starts.withColumn("reach", F.coalesce(F.max("end").over(walk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)))
     first = F.col("end").isNotNull() & ((F.col("pos") > F.col("reach") + 1) | (F.col("reach") < 0))
